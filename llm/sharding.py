@@ -8,13 +8,11 @@ thing the driver sees is one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, utf8
-
-#: A run has at most 2^RUN_BITS rows: that much one window task sorts.
-RUN_BITS = 16
+from .common import materialize, utf8
+from .order import place_rows
 
 
 def byte_shards(
@@ -33,7 +31,6 @@ def byte_shards(
     slots of their own; null ids come first within their text; an empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
     body = utf8(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -41,29 +38,10 @@ def byte_shards(
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
     )
-    ordered = materialize(
-        rows.repartitionByRange(shuffle_partitions(spark), "h", "doc_id")
-        .sortWithinPartitions("h", "doc_id")
-        .withColumn("pos", F.monotonically_increasing_id())
-        .select("doc_id", "size", "text_crc32", "pos", F.shiftright("pos", RUN_BITS).alias("run")),
-        "shard-order",
+    share = F.floor(F.col("before").cast("decimal(38,0)") * shards / F.greatest(F.col("total"), F.lit(1)))
+    placed = place_rows(rows, ["h", "doc_id"], "shard-order", weight="size").select(
+        "doc_id", "size", "text_crc32", F.least(share, F.lit(shards - 1)).cast("int").alias("shard"), "place"
     )
-    # One row per run of at most 2^RUN_BITS rows of a partition; run numbers
-    # rise with the global order, so their running sums are the prefix sums.
-    totals = ordered.groupBy("run").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    before, bytes_before, rows_before = [], 0, 0
-    for t in sorted(totals, key=lambda t: t["run"]):
-        before.append((t["run"], bytes_before, rows_before))
-        bytes_before += t["bytes"]
-        rows_before += t["n"]
-    offsets = spark.createDataFrame(before, "run long, bytes_before long, rows_before long")
-    in_run = Window.partitionBy("run").orderBy("pos")
-    start = F.col("bytes_before") + F.sum("size").over(in_run) - F.col("size")
-    placed = ordered.join(F.broadcast(offsets), "run").select(
-        "doc_id", "size", "text_crc32",
-        F.least(F.floor(start.cast("decimal(38,0)") * shards / F.lit(max(bytes_before, 1))), F.lit(shards - 1)).cast("int").alias("shard"),
-        (F.col("rows_before") + F.row_number().over(in_run) - 1).alias("place"),
-    )
     placed = materialize(placed, "shard-places")
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select(
