@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, sharding, simhash
+from . import decontaminate, exact_dedup, packing, secrets_scan, sharding, simhash, warc_zip
 from .common import is_held_out, table
 
 
@@ -15,6 +15,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_zip.round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan_documents(table(spark, sf_dir, "documents")).drop("blob")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -36,6 +45,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc_zip": op2_warc_zip,
+    "op3_secret_scan": op3_secret_scan,
     "op6_sharding": op6_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
