@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, secrets_scan, sharding, simhash, warc_zip
+from . import decontaminate, exact_dedup, language_id, packing, secrets_scan, sharding, simhash, toxicity, warc_zip
 from .common import is_held_out, table
 
 
@@ -24,6 +24,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_documents(table(spark, sf_dir, "documents")).drop("blob")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, held_out=4)
+    return language_id.identify(docs, model).select("doc_id", is_held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=4)
+    return toxicity.score(docs, model).select(
+        "doc_id", is_held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -47,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc_zip": op2_warc_zip,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
