@@ -1,6 +1,6 @@
 """Fixture tables and the queries under the inventory's IDs."""
 
-from . import relational
+from . import relational, textual
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "relational", "textual"]
