@@ -2,7 +2,7 @@
 
 Rows are put in a global order by a range shuffle of narrow rows. Totals per
 partition give every partition the bytes before it; a row's shard is where its
-first byte falls among equal targets. All on DataFrame functions: the only
+middle byte falls among equal targets, so each cut lies at the row edge nearest its target. All on DataFrame functions: the only
 thing the driver sees is one row per partition.
 """
 
@@ -26,8 +26,8 @@ def byte_shards(
 
     The order is (hash of the text, id), so equal texts are neighbours and at
     most ``shards - 1`` groups straddle a cut. Defined results: a null text has
-    no bytes beside the overhead; a text larger than a shard's target fills
-    its shard alone or with neighbours that start before it; repeated rows get
+    no bytes beside the overhead; a text larger than a shard's target may leave
+    a neighbouring shard empty; repeated rows get
     slots of their own; null ids come first within their text; an empty table
     gives an empty result.
     """
@@ -38,7 +38,8 @@ def byte_shards(
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
     )
-    share = F.floor(F.col("before").cast("decimal(38,0)") * shards / F.greatest(F.col("total"), F.lit(1)))
+    middle = F.col("before").cast("decimal(38,0)") * 2 + F.col("size")
+    share = F.floor(middle * shards / F.greatest(F.col("total") * 2, F.lit(1)))
     placed = place_rows(rows, ["h", "doc_id"], "shard-order", weight="size").select(
         "doc_id", "size", "text_crc32", F.least(share, F.lit(shards - 1)).cast("int").alias("shard"), "place"
     )

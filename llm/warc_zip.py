@@ -261,7 +261,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def with_originals(pages: DataFrame, id_col: str, text_col: str, revisit_from: int) -> DataFrame:
-    """Each page's row with ``refers_to``: null for a response, else the id of its original.
+    """Each page's id and payload digest with ``refers_to``: null for a response, else the id of its original.
 
     Of pages with equal payloads of at least ``revisit_from`` bytes the smallest
     id is the response. Equal means equal SHA-256 and length. Copies are
@@ -274,7 +274,7 @@ def with_originals(pages: DataFrame, id_col: str, text_col: str, revisit_from: i
     )
     firsts = materialize(keyed.filter(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("first")), "warc-firsts")
     return keyed.join(firsts, ["sha", "n"], "left").select(
-        "page_id", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
+        "page_id", "sha", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
     )
 
 
@@ -290,9 +290,10 @@ def archive(
     spark: SparkSession = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     originals = with_originals(pages, id_col, text_col, revisit_from)
-    revisits = originals.filter("refers_to IS NOT NULL").distinct().select(F.col("page_id").alias("_id"), "refers_to")
+    revisits = originals.filter("refers_to IS NOT NULL").distinct().select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), utf8(text_col).alias("payload"))
-    records = rows.join(revisits, rows.page_id == F.col("_id"), "left").select("page_id", "url", "payload", "refers_to")
+    same = (F.col("page_id") == F.col("_id")) & (F.sha2("payload", 256) == F.col("_sha"))
+    records = rows.join(revisits, same, "left").select("page_id", "url", "payload", "refers_to")
     return write_packages(records, folder, package_bytes), folder
 
 
