@@ -81,9 +81,9 @@ def feature_scores(t):
     return t.places.select("geoname_id", geocode.feature_score(F.col("feature_class"), F.col("feature_code"), wanted).alias("s"))
 
 
-@query("GEO-05", "SELECT geoname_id, CASE WHEN geoname_id % 3 = 0 THEN 0.0 WHEN upper(country) = 'FRANCE' THEN 2.5 ELSE -1.5 END::DOUBLE AS s FROM places")
+@query("GEO-05", "SELECT geoname_id, CASE WHEN geoname_id % 3 = 0 THEN 0.0 WHEN upper(country) = 'NATION_3' THEN 2.5 ELSE -1.5 END::DOUBLE AS s FROM places")
 def country_scores(t):
-    bias = F.when(F.col("geoname_id") % 3 != 0, "FRANCE")
+    bias = F.when(F.col("geoname_id") % 3 != 0, "NATION_3")
     return t.places.select("geoname_id", geocode.country_score(F.col("country"), bias).alias("s"))
 
 
@@ -172,18 +172,18 @@ def event_like(t):
 
 
 def entries(t):
-    return t.items.filter("id % 50 = 1").select(F.col("id").alias("pos"), F.substring("item_text", 1, 200).alias("text"), F.col("ts").alias("last_seen_at"))
+    return t.items.filter("id % 48 = 1").select(F.col("id").alias("pos"), F.substring("item_text", 1, 200).alias("text"), F.col("ts").alias("last_seen_at"))
 
 
 def entry_features(t):
     return features.signature(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text").filter(F.col("label").isin(*CHECKED_LABELS))
 
 
-ENTRY_SIGNATURE = SIGNATURE.replace("FROM items", "FROM (SELECT * REPLACE (substring(item_text, 1, 200) AS item_text) FROM items WHERE id % 50 = 1)")
+ENTRY_SIGNATURE = SIGNATURE.replace("FROM items", "FROM (SELECT * REPLACE (substring(item_text, 1, 200) AS item_text) FROM items WHERE id % 48 = 1)")
 PAIRS = f"(SELECT DISTINCT a.id, b.id AS pos FROM {SIGNATURE} a JOIN {ENTRY_SIGNATURE} b USING (label, value))"
 
 
-@query("JOIN-07", f"SELECT id, pos FROM {PAIRS} UNION ALL SELECT i.id, e.id FROM items i, (SELECT id FROM items WHERE id % 50 = 1) e WHERE i.id NOT IN (SELECT id FROM {PAIRS})")
+@query("JOIN-07", f"SELECT id, pos FROM {PAIRS} UNION ALL SELECT i.id, e.id FROM items i, (SELECT id FROM items WHERE id % 48 = 1) e WHERE i.id NOT IN (SELECT id FROM {PAIRS})")
 def candidate_pairs(t):
     return similarity.candidates(t.items, entries(t), signatures(t), entry_features(t), 2500)
 
@@ -215,12 +215,12 @@ def jaccard(t):
 
 VECTOR = f"(SELECT id, bucket, 1 + ln(1 + n) AS w FROM ({BUCKETS}))"
 COSINE = f"""(WITH v AS {VECTOR}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1)
-  SELECT a.id, b.id AS pos, sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)) AS ng FROM v a JOIN v b ON a.bucket = b.bucket AND b.id % 50 = 1 JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY 1, 2)"""
+  SELECT a.id, b.id AS pos, sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)) AS ng FROM v a JOIN v b ON a.bucket = b.bucket AND b.id % 48 = 1 JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY 1, 2)"""
 
 
 def title_cosines(t):
     vectors = features.ngram_vectors(t.items, "id", "title")
-    index_ids = t.items.filter("id % 50 = 1").select(F.col("id").alias("pos"))
+    index_ids = t.items.filter("id % 48 = 1").select(F.col("id").alias("pos"))
     pairs = vectors.select("id", "bucket").join(vectors.join(index_ids, vectors.id == index_ids.pos, "left_semi").select(F.col("id").alias("pos"), "bucket"), "bucket")
     return similarity.cosine(pairs.select("id", "pos").distinct(), vectors, vectors)
 

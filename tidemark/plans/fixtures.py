@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, times
 
-AS_OF = "2024-01-31 00:00:00"
+AS_OF = "2024-01-04 00:30:00"
 PAIRS = {"signup": "protest", "error": "blackout", "click": "sanctions", "view": "footage", "purchase": "killed"}
 
 
@@ -73,14 +73,14 @@ class Tables:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return self.items.filter("id % 50 = 1").select(
+        return self.items.filter("id % 48 = 1").select(
             F.concat(F.lit("c-"), "id").alias("cluster_id"), F.substring("item_text", 1, 200).alias("title"), "lat", "lon", "location_name",
             F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_seen_at"),
         )
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return self.items.withColumn("cluster_id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("c-"), F.col("id") - F.col("id") % 50 + 1)))
+        return self.items.withColumn("cluster_id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("c-"), F.col("id") - F.col("id") % 48 + 1)))
 
     @cached_property
     def places(self) -> DataFrame:
@@ -94,8 +94,10 @@ class Tables:
             (F.col("n_nationkey") + 1_000_000).cast("long").alias("geoname_id"), F.col("n_name").alias("name"), F.col("n_name").alias("country"),
             F.lit("A").alias("feature_class"), F.lit("PCLI").alias("feature_code"), (1_000_000 * (F.col("n_nationkey") + 1)).cast("long").alias("population"),
         )
+        # names of one token, which a query may mean as a country
+        short = nations.withColumns({"geoname_id": F.col("geoname_id") + 1_000_000, "name": F.concat(F.lit("Land"), F.col("geoname_id") - 1_000_000)})
         g = F.col("geoname_id")
-        return towns.unionByName(nations).withColumns({
+        return towns.unionByName(nations).unionByName(short).withColumns({
             "lat": ((g * 37 % 18_000) / 100.0 - 90).cast("double"), "lon": ((g * 91 % 36_000) / 100.0 - 180).cast("double"),
         })
 
@@ -109,7 +111,7 @@ class Tables:
         n, c = self.table("nation"), self.table("customer")
         odd = self.spark.createDataFrame([("x",), ("Nowhere Land",)], "q string")
         named = n.select(F.col("n_name").alias("q")).union(c.select(F.upper("c_name"))).union(n.select(F.concat(F.lit(" "), "n_name", F.lit(" "))))
-        return named.union(odd)
+        return named.union(n.select(F.concat(F.lit("land"), "n_nationkey"))).union(odd)
 
     @cached_property
     def vessel_messages(self) -> DataFrame:
@@ -138,15 +140,16 @@ raw_records AS (SELECT *, id AS arrival FROM items UNION ALL
     id + 2000000 FROM items WHERE id % 23 = 0 OR id % 29 = 0),
 existing_items AS (SELECT * FROM items WHERE id % 3 = 0),
 clusters AS (SELECT 'c-' || id AS cluster_id, substring(item_text, 1, 200) AS title, lat, lon, location_name, ts AS first_seen_at, ts AS last_seen_at
-  FROM items WHERE id % 50 = 1),
-assigned AS (SELECT *, CASE WHEN id % 7 <> 0 THEN 'c-' || (id - id % 50 + 1) END AS cluster_id FROM items),
+  FROM items WHERE id % 48 = 1),
+assigned AS (SELECT *, CASE WHEN id % 7 <> 0 THEN 'c-' || (id - id % 48 + 1) END AS cluster_id FROM items),
 places0 AS (SELECT CAST(c_custkey AS BIGINT) AS geoname_id, c_name AS name, n_name AS country, 'P' AS feature_class, 'PPL' AS feature_code,
   CAST(greatest(0, floor(c_acctbal * 100)) AS BIGINT) AS population FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
-  SELECT 1000000 + n_nationkey, n_name, n_name, 'A', 'PCLI', 1000000 * (n_nationkey + 1) FROM nation),
+  SELECT 1000000 + n_nationkey, n_name, n_name, 'A', 'PCLI', 1000000 * (n_nationkey + 1) FROM nation UNION ALL
+  SELECT 2000000 + n_nationkey, 'Land' || n_nationkey, n_name, 'A', 'PCLI', 1000000 * (n_nationkey + 1) FROM nation),
 places AS (SELECT *, CAST(geoname_id * 37 % 18000 AS DOUBLE) / 100 - 90 AS lat, CAST(geoname_id * 91 % 36000 AS DOUBLE) / 100 - 180 AS lon FROM places0),
 alt_names AS (SELECT geoname_id, lower(name) || ' alt' AS alt_name FROM places WHERE geoname_id % 4 = 0 UNION ALL
   SELECT geoname_id + 5000000, lower(name) || ' alt' FROM places WHERE geoname_id % 4 = 0),
 place_queries AS (SELECT n_name AS q FROM nation UNION ALL SELECT upper(c_name) FROM customer UNION ALL SELECT ' ' || n_name || ' ' FROM nation
-  UNION ALL SELECT 'x' UNION ALL SELECT 'Nowhere Land'),
+  UNION ALL SELECT 'land' || n_nationkey FROM nation UNION ALL SELECT 'x' UNION ALL SELECT 'Nowhere Land'),
 vessel_messages AS (SELECT CAST(user_id AS BIGINT) AS mmsi, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS sog, event_type AS message_type,
   CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM events)"""

@@ -75,9 +75,9 @@ def unassigned(t):
     return t.assigned.filter("cluster_id IS NULL").select("id")
 
 
-@query("FLT-08", "SELECT cluster_id FROM clusters WHERE first_seen_at >= TIMESTAMP '2024-01-15 00:00:00'")
+@query("FLT-08", "SELECT cluster_id FROM clusters WHERE first_seen_at >= TIMESTAMP '2024-01-02 12:00:00'")
 def clusters_from(t):
-    return t.clusters.filter(F.col("first_seen_at") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("cluster_id")
+    return t.clusters.filter(F.col("first_seen_at") >= F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")).select("cluster_id")
 
 
 @query("FLT-10", "SELECT id FROM items WHERE lat BETWEEN -40 AND 60 AND lon BETWEEN -60 AND 120")
@@ -91,10 +91,10 @@ def min_population(t):
     return t.places.filter(F.coalesce(given.try_cast("bigint"), F.lit(0)) >= 100_000).select("geoname_id")
 
 
-@query("FLT-12", f"SELECT cluster_id, coalesce(TIMESTAMP '{AS_OF}' - l > INTERVAL 21 DAY, false) AS too_old FROM (SELECT cluster_id, CASE WHEN cluster_id NOT LIKE '%51' THEN last_seen_at END AS l FROM clusters)")
+@query("FLT-12", f"SELECT cluster_id, coalesce(TIMESTAMP '2024-01-23 00:00:00' - l > INTERVAL 21 DAY, false) AS too_old FROM (SELECT cluster_id, CASE WHEN cluster_id NOT LIKE '%1' THEN last_seen_at END AS l FROM clusters)")
 def too_old(t):
-    last = F.when(~F.col("cluster_id").endswith("51"), F.col("last_seen_at"))
-    return t.clusters.select("cluster_id", F.coalesce(t.as_of - F.expr("INTERVAL 21 DAY") > last, F.lit(False)).alias("too_old"))
+    last = F.when(~F.col("cluster_id").endswith("1"), F.col("last_seen_at"))
+    return t.clusters.select("cluster_id", F.coalesce(F.lit("2024-01-23 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 21 DAY") > last, F.lit(False)).alias("too_old"))
 
 
 @query("FLT-13", f"SELECT id, {EPOCH.format('published_at')} AS published FROM items WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR AND lat IS NOT NULL AND lon IS NOT NULL ORDER BY published_at DESC, id LIMIT 100")
@@ -114,9 +114,9 @@ def timeout_clamp(t):
     return t.table("events").select("event_id", F.greatest(F.lit(1), F.least("value", F.lit(60))).cast("double").alias("timeout"))
 
 
-@query("FLT-16", "SELECT id FROM items WHERE lower(location_name) = 'france' AND source = 'rss' ORDER BY id LIMIT 20")
+@query("FLT-16", "SELECT id FROM items WHERE lower(location_name) = 'nation_3' AND source = 'rss' ORDER BY id LIMIT 20")
 def client_filters(t):
-    return t.items.filter((F.lower("location_name") == "france") & (F.col("source") == "rss")).orderBy("id").limit(20).select("id")
+    return t.items.filter((F.lower("location_name") == "nation_3") & (F.col("source") == "rss")).orderBy("id").limit(20).select("id")
 
 
 @query("FLT-17", "SELECT id FROM items WHERE lat IS NOT NULL AND NOT isnan(lat) AND lon IS NOT NULL AND NOT isnan(lon) AND source_id IS NOT NULL")
@@ -207,9 +207,9 @@ def founder_place(t):
     return t.assigned.drop("lat", "lon").join(t.clusters.select("cluster_id", "lat", "lon"), "cluster_id").select("id", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
-@query("JOIN-11", "SELECT cluster_id, lower(location_name) AS location_key FROM clusters WHERE lower(location_name) IN ('france', 'germany', 'brazil', 'algeria')")
+@query("JOIN-11", "SELECT cluster_id, lower(location_name) AS location_key FROM clusters WHERE lower(location_name) IN ('nation_1', 'nation_5', 'nation_9', 'nation_24')")
 def by_location(t):
-    keys = t.spark.createDataFrame([("france",), ("germany",), ("brazil",), ("algeria",)], "location_key string")
+    keys = t.spark.createDataFrame([("nation_1",), ("nation_5",), ("nation_9",), ("nation_24",)], "location_key string")
     return t.clusters.withColumn("location_key", F.lower("location_name")).join(F.broadcast(keys), "location_key").select("cluster_id", "location_key")
 
 
@@ -239,9 +239,9 @@ def seen_range(t):
     return serve.located_stats(t.assigned).select("cluster_id", seconds("first_seen_at").alias("first_seen"), seconds("last_seen_at").alias("last_seen"))
 
 
-@query("AGG-06", "SELECT a.cluster_id, count(*) AS n FROM assigned a WHERE a.cluster_id IN (SELECT cluster_id FROM clusters WHERE last_seen_at >= TIMESTAMP '2024-01-20 00:00:00') GROUP BY 1")
+@query("AGG-06", "SELECT a.cluster_id, count(*) AS n FROM assigned a WHERE a.cluster_id IN (SELECT cluster_id FROM clusters WHERE last_seen_at >= TIMESTAMP '2024-01-02 00:00:00') GROUP BY 1")
 def recent_stats(t):
-    touched = t.clusters.filter(F.col("last_seen_at") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    touched = t.clusters.filter(F.col("last_seen_at") >= F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
     return serve.located_stats(t.assigned.join(touched.select("cluster_id"), "cluster_id", "left_semi")).select("cluster_id", F.col("item_count").alias("n"))
 
 
