@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ class Model:
         return -np.expm1(-total)
 
 
-def _counterfactuals(docs: list[set[str]], rng: np.random.Generator, share: float) -> list[tuple[set[str], set[str]]]:
+def _counterfactuals(docs: list[set[str]], rng: np.random.Generator, share: float) -> Iterator[tuple[set[str], set[str]]]:
     """Pairs of a document and itself with an identity term swapped for another of its group.
 
     Documents that name a group are swapped as they stand; of the others a
@@ -72,7 +74,6 @@ def _counterfactuals(docs: list[set[str]], rng: np.random.Generator, share: floa
     regularised too.
     """
     group_of = {t: g for g in IDENTITY_TERMS for t in g}
-    pairs = []
     for words in docs:
         named = sorted(words & group_of.keys())
         if named:
@@ -83,10 +84,9 @@ def _counterfactuals(docs: list[set[str]], rng: np.random.Generator, share: floa
         else:
             continue
         others = [t for t in group_of[term] if t != term]
-        pairs.append(((words | {term}), (words - {term}) | {others[rng.integers(len(others))]}))
+        yield words | {term}, (words - {term}) | {others[rng.integers(len(others))]}
         if not named:
-            pairs.append((words, words | {term}))  # a bare mention is neutral
-    return pairs
+            yield words, words | {term}  # a bare mention is neutral
 
 
 def train(
@@ -96,18 +96,23 @@ def train(
     rng = np.random.default_rng(seed)
     if not any(labels):
         return Model([{} for _ in PREFIXES], -20.0, 0.0)
-    pairs = _counterfactuals(docs, rng, 0.2)
-    every = [*docs, *(a for a, _ in pairs), *(b for _, b in pairs)]
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*every)))}
+    terms = {t for g in IDENTITY_TERMS for t in g}
+    vocabulary = {w: i for i, w in enumerate(sorted(terms.union(*docs)))}
+
+    def numbers(words):
+        return np.sort(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+
+    # pairs become numbers one by one, so the driver never holds their word sets
+    pairs = [(numbers(a), numbers(b)) for a, b in _counterfactuals(docs, rng, 0.2)]
+    every = [*map(numbers, docs), *(a for a, _ in pairs), *(b for _, b in pairs)]
     sizes = np.array([len(d) for d in every])
-    word = np.array([vocabulary[w] for d in every for w in sorted(d)], np.int64)
+    word = np.concatenate(every)
     row = np.repeat(np.arange(len(every)), sizes)
     # features that few labelled documents show carry no weight; identity terms always do
     shown = [Counter() for _ in PREFIXES]
     for d in docs:
         for k, counts in zip(PREFIXES, shown):
             counts.update({w[:k] for w in d} if k else d)
-    terms = {t for g in IDENTITY_TERMS for t in g}
     features = [sorted({f for f, c in counts.items() if c >= min_docs} | (terms if not k else set())) for k, counts in zip(PREFIXES, shown)]
     slot_of, size = [], 1  # slot 0 is none
     for names in features:
@@ -184,8 +189,13 @@ def fit(
             )
 
     rows = sample.select(F.col("_id").cast("long"), "text", F.col("toxic").cast("int")).filter("text IS NOT NULL")
-    got = sorted(rows.mapInArrow(word_sets, "id long, words array<string>, toxic int").collect(), key=lambda r: r["id"])
-    return train([set(r["words"]) for r in got], [r["toxic"] for r in got], **how)
+    got = rows.mapInArrow(word_sets, "id long, words array<string>, toxic int").collect()
+    got.sort(key=lambda r: r["id"])
+    labels_of = [r["toxic"] for r in got]
+    # one string for all places of a word, and each row let go once it is read
+    got.reverse()
+    docs_of = [set(map(sys.intern, got.pop()["words"])) for _ in labels_of]
+    return train(docs_of, labels_of, **how)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
