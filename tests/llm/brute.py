@@ -107,6 +107,22 @@ def components(prints: dict[int, int], bits: int = 4) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
+def near_components(docs: list[tuple[int, str | None]], words: int = 5) -> dict[int, int]:
+    """Smallest id reachable over five-word Jaccard similarities of 0.8 or more."""
+    sets = {}
+    for i, t in sorted(docs):
+        w = WORD.findall(lowered(t))
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    root = {i: i for i in sets}
+    ids = list(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = root[a], root[b]
+            if x != y and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return root
+
+
 def edits_within(pattern: str, text: str) -> int:
     """Least edits between ``pattern`` and any part of ``text``."""
     row = [0] * (len(text) + 1)

@@ -6,7 +6,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from llm import common, components, decontaminate, exact_dedup, language_id, lm_score, packing, registry, secrets_scan, sharding, simhash, subwords, toxicity, warc_zip
+from llm import common, components, decontaminate, exact_dedup, language_id, lm_score, near_copies, packing, registry, secrets_scan, sharding, simhash, subwords, toxicity, warc_zip
 from tests import oracle
 from tests.llm import brute
 
@@ -233,3 +233,29 @@ def test_pipeline_stages(spark, sf_dir):
             kept = docs.join(before, docs.columns, "left_semi").count()
             assert kept == docs.count()
     assert docs.count() > 0
+
+
+def test_copy_stages_equal_brute_force(spark, docs, odd, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = texts_of(docs)
+    for base in range(10):
+        text = [word() for _ in range(120)]
+        rows.append((10_000 + 100 * base, " ".join(text)))
+        for copy in range(1, 13):  # each changed word takes five shingles
+            own = list(text)
+            for at in rng.sample(range(len(own)), copy // 2):
+                own[at] = word()
+            rows.append((10_000 + 100 * base + copy, " ".join(own)))
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(near_copies, "CHUNK_ROWS", 5)  # groups in several chunks too
+    for df in (made, odd.filter("doc_id IS NOT NULL").drop("keep_id", "size")):
+        exact = corpus_pipeline.exact_copies(spark, df, "")
+        assert {i for i, _ in texts_of(exact)} == {r[0] for r in brute.exact_groups(texts_of(df)) if r[3]}
+        group = brute.near_components(texts_of(exact))
+        near = corpus_pipeline.near_copies(spark, exact, "")
+        assert {i for i, _ in texts_of(near)} == set(group.values()) and near.columns == df.columns
+    null = near_copies.near_groups(odd)
+    assert null.count() == len(ODD) and null.filter("doc_id IS NULL AND component_id IS NULL").count() == 1
