@@ -199,6 +199,24 @@ def test_decontamination_finds_edited_passages(spark, sf_dir):
     assert decontaminate.drop_contaminated(df, bench).count() == 4
 
 
+def test_part_of_an_item_and_items_without_id_leak(spark):
+    rng = random.Random(6)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n // 6 + 1))[:n]
+    sizes = [390, 1000, 2000, 60]
+    items = [made(n) for n in sizes]
+    bench = spark.createDataFrame([*enumerate(items[:3]), (None, items[3]), (None, made(300))], "item_id long, text string")
+    rows, wanted = [], set()
+    for i, (item, passage) in enumerate(zip(items, (200, 450, 900, 60))):
+        for at in {0, 37, len(item) - passage} if passage < len(item) else {0}:
+            wanted.add((len(rows), i if i < 3 else None))
+            rows.append((len(rows), made(500) + " " + item[at : at + passage] + " " + made(500)))
+    leaking = len(rows)
+    rows += [(leaking, made(900)), (leaking + 1, made(400) + items[2][500:570] + made(400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()} == wanted
+    assert {i for i, _ in texts_of(decontaminate.drop_contaminated(df, bench))} == {leaking, leaking + 1}
+
+
 def test_near_groups(docs, odd):
     for df in (docs, odd.filter("doc_id IS NOT NULL")):
         prints = {i: brute.fingerprint(t) for i, t in texts_of(df)}
