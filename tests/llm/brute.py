@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 
@@ -76,6 +77,45 @@ def unigram_scores(docs: list[tuple[int, str | None]], modulus: int) -> dict[int
     }
 
 
+def word_counts(docs: list[tuple[int, str | None]], modulus: int) -> tuple[dict, int]:
+    """Training counts of words, of ends under None, and of all."""
+    counts = Counter(w for i, t in docs if remainder(i, modulus) != 2 for w in [*WORD.findall(lowered(t)), None])
+    return counts, sum(counts.values())
+
+
+def next_id_probabilities(model, ids: list[int], end: int = 50_256, block: int = 16) -> np.ndarray:
+    """P(id) of every id after ``ids`` from a text's beginning, one position at a time in double precision."""
+    p, c = {k: v.astype(float) for k, v in model.p.items()}, model.classes
+    place = len(ids) % block
+    seen = ([end] * (block + 1) + ids)[-(block + place + 1) :]  # what the position's block and the one before it were given
+    e = p["e"][c.embed[seen]]
+    own = e[-1]
+    s = e @ p["k"] @ (own @ p["q"]) / np.sqrt(p["q"].shape[1]) + p["rel"][np.arange(len(seen))[::-1]]
+    s = np.exp(np.minimum(s, 60))
+    u = np.clip((s / s.sum() @ (e @ p["v"]) + own) @ p["w1"] + p["b1"], 0, 8)
+    group = np.exp(u @ p["wg"] + p["bg"])
+    group /= group.sum()
+    members = np.where(c.exists, np.exp(u @ p["wc"] + p["bc"]), 0).reshape(c.groups, -1)
+    classes = (group[:, None] * members / members.sum(1, keepdims=True)).ravel()
+    return classes[c.of] * np.exp(c.share[c.of[(ids or [end])[-1]]].astype(float))
+
+
+def lm_score(model, begins: np.ndarray, words: list[list[int]], counts: list[int], ends: int, total: int, mix: float, end: int = 50_256) -> tuple[float, float]:
+    """log10 probability of a text, mixed with word shares, and unmixed; ``words`` are ids of each word."""
+    seen: list[int] = []
+    score = attention = 0.0
+    for word, c in [*zip(words, counts), ([end], ends)]:
+        chain = -math.log10(next_id_probabilities(model, seen)[begins].sum())
+        for i in word:
+            chain += math.log10(next_id_probabilities(model, seen)[i])
+            seen.append(i)
+        if word != [end]:
+            chain += math.log10(next_id_probabilities(model, seen)[begins].sum())
+        score += math.log10(mix * c / total + (1 - mix) * 10**chain)
+        attention += chain
+    return score, attention
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     w = WORD.findall(lowered(text))
     if not w:

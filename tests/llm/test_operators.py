@@ -139,15 +139,76 @@ def test_shards_are_even_and_gapless(docs, empty):
     assert len(rows) == docs.count() and sharding.byte_shards(empty, 4).count() == 0
 
 
-def test_lm_scores(docs, odd):
+def test_lm_counts_and_base_score(docs, odd, empty):
     wanted = brute.unigram_scores(texts_of(docs), 7)
-    got = lm_score.score_texts(docs, steps=40, max_documents=60).collect()
+    got = lm_score.score_texts(docs, slice_bytes=100_000).collect()
     assert len(got) == len(wanted)
     for r in got:
         held, n, known, train, base = wanted[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, train)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
-    assert lm_score.score_texts(odd, steps=2, max_documents=5).count() == len(ODD)
+    assert lm_score.score_texts(odd).count() == len(ODD) and lm_score.score_texts(empty).count() == 0
+
+
+def test_lm_score_equals_a_plain_one(docs):
+    path = subwords.default_vocabulary()
+    some = docs.filter("length(text) < 600")
+    sliced = lm_score.code_texts(some, "doc_id", "text", 7, path, 20_000)
+    model = lm_score.fit(sliced, path)
+    counts, total = brute.word_counts(texts_of(some), 7)
+    texts = dict(texts_of(some))
+    rows = lm_score.score_slices(sliced, model, mix=0.25).collect()
+    assert len(rows) == len(texts) > 10
+    for r in rows[:12]:
+        ids = [lm_score.subwords([w.encode()], path)[0].tolist() for w in brute.WORD.findall(brute.lowered(texts[r["doc_id"]]))]
+        score, attention = brute.lm_score(model, lm_score.begins_word(path), ids, [counts.get(w, 0) for w in brute.WORD.findall(brute.lowered(texts[r["doc_id"]]))], counts[None], total, 0.25)
+        assert abs(r["score"] - score) < 1e-3 * abs(score) and abs(r["attention_score"] - attention) < 1e-3 * abs(attention)
+
+
+def test_lm_probabilities_sum_to_one(docs):
+    path = subwords.default_vocabulary()
+    sliced = lm_score.code_texts(docs.limit(40), "doc_id", "text", 7, path, 1 << 20)
+    model = lm_score.fit(sliced, path)
+    ids, begins = np.arange(lm_score.IDS), lm_score.begins_word(path)
+    for context in ([], [262, 1], [464, 318, 11, 262]):
+        p = np.array([np.exp(model.log_probs(np.array([*context, i, lm_score.END], np.int32), np.array([0]))[0][len(context)]) for i in (0, 262, 1000, 50_000)])
+        every = brute.next_id_probabilities(model, context)
+        assert np.allclose(p, every[[0, 262, 1000, 50_000]], rtol=1e-3) and abs(every.sum() - 1) < 1e-4
+        begin = np.exp(model.log_probs(np.array([*context, lm_score.END], np.int32), np.array([0]))[1][len(context)])
+        assert abs(every[ids[begins]].sum() - begin) < 1e-4
+
+
+def test_lm_gradients_are_right():
+    rng = np.random.default_rng(0)
+    counts = np.zeros(lm_score.IDS)
+    counts[rng.integers(0, lm_score.IDS, 500)] = rng.integers(1, 500, 500)
+    begins = np.arange(lm_score.IDS) % 3 == 0
+    begins[lm_score.END] = True
+    model = lm_score.AttentionModel(lm_score.Classes(counts, begins))
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    ids = np.flatnonzero(counts)
+    x, y = rng.choice(ids, (2, 4, 16)), rng.choice(ids, (2, 3, 16))
+    y[0, 2, 5:] = -1
+    _, g = model.gradients(x, y)
+    for k in g:
+        at = int(np.abs(g[k]).argmax())
+        flat = model.p[k].reshape(-1)
+        old = flat[at]
+        flat[at] = old + 1e-6
+        up = model.gradients(x, y)[0]
+        flat[at] = old - 1e-6
+        down = model.gradients(x, y)[0]
+        flat[at] = old
+        assert abs((up - down) / 2e-6 - g[k].reshape(-1)[at]) < 1e-6
+
+
+def test_lm_learns(spark, sf_dir):
+    """More training text, spread over slices, scores held-out text better than none."""
+    docs = common.table(spark, sf_dir, "documents")
+    path = subwords.default_vocabulary()
+    sliced = lm_score.code_texts(docs, "doc_id", "text", 7, path, 200_000)
+    held = lambda model: lm_score.score_slices(sliced, model).filter("held_out").agg({"attention_score": "sum"}).first()[0]
+    assert held(lm_score.fit(sliced, path)) > 0.9 * held(lm_score.fit(sliced, path, share=0.0))
 
 
 def test_packing_holds_every_piece(docs, odd):
