@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Fixed value: the pre-tokenizer pattern that belongs to the byte-level vocabulary.
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The vocabulary's added token and its id.
+ADDED_TOKEN, ADDED_ID = "<|endoftext|>", 50_256
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = f" {_WHITE}|{_WHITE} "
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -47,8 +49,23 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, offsets)``: text i has ``ids[offsets[i]:offsets[i+1]]``. Null is empty."""
+    """``(ids, offsets)``: text i has ``ids[offsets[i]:offsets[i+1]]``. Null is empty.
+
+    The vocabulary's added token is cut out first, as its tokenizer does.
+    """
     texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not pc.any(pc.match_substring(texts, ADDED_TOKEN)).as_py():
+        return _encode_plain(texts, path)
+    parts = pc.split_pattern(texts, ADDED_TOKEN)
+    first = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    ids, offsets = _encode_plain(parts.flatten(), path)
+    within = np.ones(len(offsets) - 1, bool)  # parts that the token follows
+    within[first[1:] - 1] = False
+    ids = np.insert(ids, offsets[1:][within], np.uint32(ADDED_ID))
+    return ids, offsets[first] + first - np.arange(len(first))
+
+
+def _encode_plain(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     enc = encoder(path)
     unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
     if unsafe.any():
