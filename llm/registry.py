@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, language_id, lm_score, packing, secrets_scan, sharding, simhash, toxicity, warc_zip
-from .common import is_held_out, table
+from .common import is_held_out, shared_dir, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_scan.scan_documents(table(spark, sf_dir, "documents")).drop("blob")
+    ledger = secrets_scan.Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    return secrets_scan.scan_documents(table(spark, sf_dir, "documents"), ledger).drop("blob")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, utf8
+from .common import materialize, utf8, with_found
 
 #: Kinds whose spans are the base ones, in the order ties are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -64,7 +65,7 @@ RULES: tuple[Rule, ...] = (
     # every run of at least 16 is a whole run, so shorter runs need no match
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"),
 )
 
@@ -73,11 +74,42 @@ FINDINGS = "blob string, rule string, kind string, start long, end long"
 
 
 def _scan_schema() -> str:
-    return "blob string, spans array<struct<rule:string,kind:string,start:long,end:long>>"
+    return "blob string, spans array<struct<rule:string,kind:string,start:long,end:long>>, asked array<string>"
+
+
+class Ledger:
+    """Scans and findings kept under ``folder``, which driver and executors share.
+
+    Each recording is a folder of its own, findings first, so a recording that
+    broke off is done again and changes nothing. Only what Spark wrote whole is
+    read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/*").distinct()
+
+    def scans(self) -> DataFrame:
+        """``(blob, rule)`` pairs that have been scanned."""
+        return self._read("scans", LEDGER)
+
+    def findings(self) -> DataFrame:
+        return self._read("findings", FINDINGS)
+
+    def record(self, findings: DataFrame, scans: DataFrame) -> None:
+        batch = uuid.uuid4().hex
+        findings.write.parquet(f"{self.folder}/findings/{batch}")
+        scans.write.parquet(f"{self.folder}/scans/{batch}")
 
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, blob)``: every path and the address of the version it holds."""
+    """``(doc_id, blob)``: every path and the address of a version it holds; a path may have many."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(utf8(text_col), 256).alias("blob"))
 
 
@@ -86,71 +118,57 @@ def scan_unseen(
 ) -> tuple[DataFrame, DataFrame]:
     """``(findings, new ledger rows)`` of the blobs of ``docs`` that miss a rule version in ``ledger``.
 
-    The blobs to scan are found on addresses alone; then one row per blob
-    brings its text: copies in a task meet first, the rest in a shuffle by
-    address, and the first of each is scanned. Findings and ledger rows are
+    The blobs to scan are found on addresses alone, and one path is picked to
+    bring each; only its row travels to the scan, dealt by address and path, so
+    copies of a hot blob stay where they are. Findings and ledger rows are
     written tables. A blob is scanned only for the rules it misses.
     """
     versions = [r.version for r in rules]
-    rows = docs.select(F.sha2(utf8(text_col), 256).alias("blob"), utf8(text_col).alias("body"))
     missing = F.array(*[F.lit(v) for v in versions])
+    holders = blobs(docs, id_col, text_col).groupBy("blob").agg(F.min("doc_id").alias("holder"))
     if ledger is not None:
         known = ledger.filter(F.col("rule").isin(versions)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        full = known.filter(F.size("done") == len(versions)).select("blob")
-        rows = rows.join(full, "blob", "left_anti").join(known, "blob", "left")
+        holders = holders.join(known, "blob", "left").filter(F.coalesce(F.size("done"), F.lit(0)) < len(versions))
         missing = F.array_except(missing, F.coalesce("done", F.array().cast("array<string>")))
-    rows = rows.select("blob", "body", missing.alias("missing"))
-
-    def first_of_task(batches):
-        """Copies of a blob within a batch travel once."""
-        for batch in batches:
-            seen: set[str] = set()
-            keep = []
-            for i, b in enumerate(batch.column(0).to_pylist()):
-                if b not in seen:
-                    seen.add(b)
-                    keep.append(i)
-            yield batch.take(pa.array(keep))
+    holders = holders.select(F.col("blob").alias("of_blob"), "holder", missing.alias("missing"))
+    rows = docs.select(F.sha2(utf8(text_col), 256).alias("blob"), F.col(id_col).cast("long").alias("path"), utf8(text_col).alias("body"))
+    brought = rows.join(holders, [F.col("blob") == F.col("of_blob"), F.col("path").eqNullSafe(F.col("holder"))]).select("blob", "body", "missing")
 
     compiled = [(r, re.compile(r.pattern)) for r in rules]
 
     def scan(batches):
-        last = None
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            blob, out = [], []
+            seen: set[str] = set()  # a row may be repeated with its id
+            blob, out, asked = [], [], []
             for b, body, todo in zip(*(c.to_pylist() for c in batch.columns)):
-                if b == last:  # rows come sorted by address
+                if b in seen:
                     continue
-                last = b
-                text, todo = body.decode(), set(todo)
-                found = [
-                    {"rule": r.version, "kind": r.kind, "start": s, "end": e} for r, p in compiled if r.version in todo for s, e in r.spans(text, p)
-                ]
+                seen.add(b)
+                text = body.decode()
+                out.append([{"rule": r.version, "kind": r.kind, "start": s, "end": e} for r, p in compiled if r.version in todo for s, e in r.spans(text, p)])
                 blob.append(b)
-                out.append(found)
-            kind = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(out, kind)], names=["blob", "spans"])
-
-    spark = docs.sparkSession
-    dealt = rows.mapInArrow(first_of_task, "blob string, body binary, missing array<string>")
-    dealt = dealt.repartition(shuffle_partitions(spark), "blob").sortWithinPartitions("blob")
-    scanned = materialize(dealt.mapInArrow(scan, _scan_schema()), "secret-scan")
+                asked.append(todo)
+            yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(out, kind), pa.array(asked, pa.list_(pa.string()))], names=["blob", "spans", "asked"])
+
+    scanned = materialize(brought.mapInArrow(scan, _scan_schema()).dropDuplicates(["blob"]), "secret-scan")
     findings = scanned.select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
-    done = scanned.select("blob", F.explode(F.array(*[F.lit(v) for v in versions])).alias("rule"))
-    return findings, done
+    return findings, scanned.select("blob", F.explode("asked").alias("rule"))
 
 
-def findings_of_paths(paths: DataFrame, findings: DataFrame) -> DataFrame:
+def findings_of_paths(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every path with its blob's findings: counts per base kind, digest of base spans, all spans.
 
     Spans are listed by start, then kind as in the rules. Paths without
     findings have counts of zero and empty lists.
     """
-    order = {r.kind: i for i, r in enumerate(RULES)}
+    order = {r.kind: i for i, r in enumerate(rules)}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     listed = findings.select("blob", F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind").alias("s"))
-    per_blob = materialize(listed.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("found")), "secret-blobs")
-    joined = paths.join(per_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(per_blob.schema["found"].dataType)))
+    per_blob = listed.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("found"))
+    sizes = paths.groupBy("blob").agg(F.count("*").alias("paths"))
+    per_blob = materialize(sizes.join(per_blob, "blob", "left"), "secret-blobs")
+    joined = with_found(paths, per_blob, ["blob"], "paths").withColumn("found", F.coalesce("found", F.array().cast(per_blob.schema["found"].dataType)))
 
     def text_of(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -163,16 +181,22 @@ def findings_of_paths(paths: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.select("doc_id", *map(count, BASE_KINDS), F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"), "blob")
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings of every row of ``docs``, scanning only what ``ledger`` misses.
+def scan_documents(
+    docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Findings of every row of ``docs``; what ``ledger`` has is not scanned again, and what is scanned is recorded in it.
 
-    ``known`` holds the findings of earlier scans. Defined results: null texts
-    are the empty blob, which has no findings; equal texts share one scan;
-    repeated rows are returned each; null ids are kept; an empty table gives
-    an empty result; other columns are ignored.
+    Findings are those of ``rules`` in their present versions. Defined results:
+    null texts are the empty blob, which has no findings; equal texts share one
+    scan; a path with several texts, its versions, has a row for each; repeated
+    rows are returned each; null ids are kept; an empty table gives an empty
+    result; other columns are ignored.
     """
     paths = materialize(blobs(docs, id_col, text_col), "secret-paths")
-    findings, _ = scan_unseen(docs, ledger, RULES, id_col, text_col)
-    if known is not None:
-        findings = findings.unionByName(known.filter(F.col("rule").isin([r.version for r in RULES]))).distinct()
-    return findings_of_paths(paths, findings)
+    if ledger is None:
+        findings, _ = scan_unseen(docs, None, rules, id_col, text_col)
+        return findings_of_paths(paths, findings, rules)
+    ledger.record(*scan_unseen(docs, ledger.scans(), rules, id_col, text_col))
+    here = paths.select("blob").distinct()
+    known = ledger.findings().filter(F.col("rule").isin([r.version for r in rules])).join(here, "blob", "left_semi")
+    return findings_of_paths(paths, known, rules)
