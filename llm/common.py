@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"  # one machine: the driver's disk is everyone's
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -60,5 +63,26 @@ def utf8(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
+def with_found(rows: DataFrame, found: DataFrame, keys: list[str], rows_of: str) -> DataFrame:
+    """``rows`` joined with ``found``, which has each key of ``rows`` once and in ``rows_of`` its number of rows.
+
+    Keys of over a thousandth of all rows, of which there are at most 1,000,
+    are broadcast; their rows are dealt by a number instead of the key, so no
+    task gets a hot key. ``found`` must be a written table.
+    """
+    total = found.agg(F.sum(rows_of)).first()[0] or 0
+    others = [c for c in found.columns if c not in keys]
+    hot = found.filter(F.col(rows_of) * 1000 > total)
+    named = lambda df, tag: df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], F.struct(*others).alias(f"{tag}found"))
+    same = lambda tag: [F.col(k) == F.col(f"{tag}{k}") for k in keys]
+    seen = rows.join(F.broadcast(named(hot, "hot_")), same("hot_"), "left")
+    # a number for rows that are done, and for all others the same on both sides
+    spare = F.when(F.col("hot_found").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    cold = named(found.filter(F.col(rows_of) * 1000 <= total), "cold_").withColumn("cold_spare", F.lit(-1).cast("long"))
+    met = seen.withColumn("spare", spare).join(cold, [*same("cold_"), F.col("spare") == F.col("cold_spare")], "left")
+    best = F.coalesce("hot_found", "cold_found")
+    return met.select(*rows.columns, *[best[c].alias(c) for c in others])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

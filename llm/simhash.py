@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, utf8
+from .common import materialize, shuffle_partitions, utf8, with_found
 from .components import connected_components
 
 #: Variants of one bucket that are compared with each other; larger buckets
@@ -186,23 +186,15 @@ def near_groups(
     no other; an empty table gives an empty result; extra columns are ignored.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "simhash-distinct")
     links = materialize(fingerprint_links(distinct, max_bits), "simhash-edges")
     labels = connected_components(links)
     named = distinct.join(labels, distinct.fp == labels.node, "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
+        "fp", "first_id", "rows", F.coalesce("label", "fp").alias("label")
     )
     named = materialize(named, "simhash-named")
-    smallest = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    per_print = materialize(named.join(smallest, "label").select("fp", "component_id"), "simhash-components")
-    return prints.join(per_print, "fp").select(
+    smallest = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "simhash-smallest")
+    per_print = materialize(with_found(named, smallest, ["label"], "prints").select("fp", "rows", "component_id"), "simhash-components")
+    return with_found(prints, per_print, ["fp"], "rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4
-) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, columns unchanged."""
-    firsts = near_groups(docs, id_col, text_col, words, max_bits).select(F.col("component_id").alias("_first")).distinct()
-    return docs.join(firsts, docs[id_col].eqNullSafe(F.col("_first")), "left_semi")

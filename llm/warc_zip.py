@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, utf8
+from .common import materialize, shared_dir, shuffle_partitions, utf8, with_found
 
 # Record layouts of the ZIP format.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -272,8 +272,8 @@ def with_originals(pages: DataFrame, id_col: str, text_col: str, revisit_from: i
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(utf8(text_col), 256).alias("sha"), F.octet_length(utf8(text_col)).alias("n")),
         "warc-keys",
     )
-    firsts = materialize(keyed.filter(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("first")), "warc-firsts")
-    return keyed.join(firsts, ["sha", "n"], "left").select(
+    firsts = materialize(keyed.filter(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")), "warc-firsts")
+    return with_found(keyed, firsts, ["sha", "n"], "rows").select(
         "page_id", "sha", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
     )
 
@@ -300,4 +300,5 @@ def archive(
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """Write ``pages`` and read every record back."""
     packages, folder = archive(pages, **how)
-    return read_packages(packages.repartition(max(1, packages.count())), folder)
+    spark = pages.sparkSession
+    return read_packages(packages.repartition(shuffle_partitions(spark)), folder)
