@@ -83,6 +83,22 @@ def word_counts(docs: list[tuple[int, str | None]], modulus: int) -> tuple[dict,
     return counts, sum(counts.values())
 
 
+def pieces(docs: list[tuple[int, str | None]], capacity: int, end_id: int) -> list[tuple]:
+    """(doc_id, piece, start, length, crc32 of ids) of every document's pieces, by the vocabulary's own tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = []
+    for i, t in docs:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end_id]
+        first = len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            out.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    return out
+
+
 def next_id_probabilities(model, ids: list[int], end: int = 50_256, block: int = 16) -> np.ndarray:
     """P(id) of every id after ``ids`` from a text's beginning, one position at a time in double precision."""
     p, c = {k: v.astype(float) for k, v in model.p.items()}, model.classes

@@ -1,7 +1,11 @@
 """The operators against plain versions, on small tables and on odd rows."""
 
 import random
+import re
+import time
+import tracemalloc
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -52,8 +56,8 @@ def test_trie_spills_without_change():
     keys = [bytes(rng.choices(b"ab", k=rng.randrange(12))) for _ in range(2000)]
     trie = exact_dedup.PatriciaTrie(exact_dedup.KEEP["smallest"], budget=50)
     for i, k in enumerate(keys):
-        trie.insert(k, i, 1)
-    assert sorted(trie.finish()) == sorted((k, keys.index(k), keys.count(k)) for k in set(keys))
+        trie.insert(k, (i, "x"), 1, 1)
+    assert sorted(trie.finish()) == sorted((k, (keys.index(k), "x"), keys.count(k), 1) for k in set(keys))
 
 
 def test_warc_round_trip(spark, sf_dir):
@@ -87,11 +91,33 @@ def test_secret_scan(docs, odd):
         assert sorted(str((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"])) for r in got) == wanted
 
 
-def test_secret_ledger_scans_only_the_unseen(spark, odd):
-    findings, ledger = secrets_scan.scan_unseen(odd)
-    again, done = secrets_scan.scan_unseen(odd, ledger)
-    assert done.count() == 0 and again.count() == 0 and findings.count() == 3
-    assert secrets_scan.scan_documents(odd, ledger, findings).filter("n_assign = 1").count() == 1
+def test_secret_ledger_scans_only_the_unseen(spark, odd, empty, tmp_path, monkeypatch):
+    ledger = secrets_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    whole = secrets_scan.scan_documents(odd, ledger)
+    rows = sorted(map(str, whole.collect()))
+    assert rows == sorted(map(str, secrets_scan.scan_documents(odd).collect())) and ledger.scans().count() == 6 * odd.select("text").na.fill("").distinct().count()
+    # a second version of a path, beside what is known: only that is scanned
+    later = odd.select("doc_id", "text").union(spark.createDataFrame([(8, "token: abcdefabcdefabcd")], "doc_id long, text string"))
+    assert secrets_scan.scan_unseen(later, ledger.scans())[1].select("blob").distinct().count() == 1
+    versions = secrets_scan.scan_documents(later, ledger).filter("doc_id = 8").collect()
+    assert sorted((r["n_assign"], r["n_access"], r["n_hex"]) for r in versions) == [(1, 0, 1), (1, 1, 1)]
+    # a changed rule is a new version: every blob is scanned for it, and for it alone
+    changed = tuple(secrets_scan.Rule(r.kind, r.pattern, r.group, 30) if r.kind == "hex" else r for r in secrets_scan.RULES)
+    findings, done = secrets_scan.scan_unseen(later, ledger.scans(), changed)
+    assert {r["rule"] for r in done.select("rule").distinct().collect()} == {r.version for r in changed if r.kind == "hex"} and findings.count() == 0
+    assert secrets_scan.scan_documents(later, ledger, changed).agg({"n_hex": "sum"}).first()[0] == 0
+    assert secrets_scan.scan_documents(empty, ledger).count() == 0
+
+
+def test_secret_rules_take_linear_time():
+    text = "eyJ" * 200_000 + " " + "-----BEGIN " * 50_000 + "password" + " " * 100_000
+    began = time.time()
+    for rule in secrets_scan.RULES:
+        rule.spans(text, re.compile(rule.pattern))
+    assert time.time() - began < 10
+    token = "x eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM y"
+    web = next(r for r in secrets_scan.RULES if r.kind == "web_token")
+    assert web.spans(token, re.compile(web.pattern)) == [(2, len(token) - 2)]
 
 
 def test_language_id_learns_and_labels_every_row(docs, odd, empty):
@@ -129,14 +155,23 @@ def test_toxicity_swaps_and_odd_rows(spark, sf_dir, docs, odd, empty):
     assert toxicity.drop_toxic(odd.limit(0), labels).columns == odd.columns
 
 
-def test_shards_are_even_and_gapless(docs, empty):
-    rows = sharding.byte_shards(docs, 4).collect()
-    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
-    for s in range(4):
-        own = [r for r in rows if r["shard"] == s]
-        assert sorted(r["slot"] for r in own) == list(range(len(own)))
-        assert abs(sum(r["size"] for r in own) - total / 4) <= largest + 1
-    assert len(rows) == docs.count() and sharding.byte_shards(empty, 4).count() == 0
+def test_shards_are_even_and_gapless(spark, docs, odd, empty):
+    for df in (docs, odd):
+        rows = sharding.byte_shards(df, 4).collect()
+        texts = texts_of(df)
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=str) == sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts), key=str)
+        total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+        for s in range(4):
+            own = [r for r in rows if r["shard"] == s]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert abs(sum(r["size"] for r in own) - total / 4) <= largest + 1
+    assert sharding.byte_shards(empty, 4).count() == 0
+    # groups that are small enough are never cut
+    made = spark.createDataFrame([(i, f"text {i // 7} " * (1 + i % 7 // 7)) for i in range(2000)] + [(9999, "long " * 400)], "doc_id long, text string").repartition(3)
+    shards_of = {}
+    for r in sharding.byte_shards(made, 10).join(made, "doc_id").collect():
+        shards_of.setdefault(r["text"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in shards_of.values())
 
 
 def test_lm_counts_and_base_score(docs, odd, empty):
@@ -211,8 +246,10 @@ def test_lm_learns(spark, sf_dir):
     assert held(lm_score.fit(sliced, path)) > 0.9 * held(lm_score.fit(sliced, path, share=0.0))
 
 
-def test_packing_holds_every_piece(docs, odd):
-    for df in (docs, odd):
+def test_packing_holds_every_piece(spark, docs, odd, empty):
+    added = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 300)], "doc_id long, text string")
+    assert packing.pack(empty, 256).count() == 0
+    for df in (docs, odd, added):
         rows = packing.pack(df, 256).collect()
         by_sequence = {}
         for r in rows:
@@ -224,8 +261,8 @@ def test_packing_holds_every_piece(docs, odd):
                 assert r["offset"] == at
                 at += r["length"]
             assert at <= 256
-        ids, offsets = subwords.encode_batch(_arrow([t for _, t in texts_of(df)]), subwords.default_vocabulary())
-        assert sum(r["length"] for r in rows) == len(ids) + len(offsets) - 1
+        wanted = brute.pieces(texts_of(df), 256, 2)
+        assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=str) == sorted(wanted, key=str)
         assert len(by_sequence) <= 1.05 * sum(r["length"] for r in rows) / 256 + 1
 
 
@@ -240,7 +277,7 @@ def test_subwords_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a b", " a  b ", "x\ty \n z", "it's 12 3!", "", "É ü  　w", "the the the"]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a b", " a  b ", "x\ty \n z", "it's 12 3!", "", "É ü  　w", "the the the"]
     ids, offsets = subwords.encode_batch(_arrow(texts), subwords.default_vocabulary())
     for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False)):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids
@@ -258,6 +295,57 @@ def test_decontamination_finds_edited_passages(spark, sf_dir):
     assert {d for d, _ in got} == {1, 2} and (1, item) in got and (2, item) in got
     assert brute.edits_within(passage[:80].lower(), edited.lower()) <= 5
     assert decontaminate.drop_contaminated(df, bench).count() == 4
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(df, bench.limit(0)).count() == 6
+    assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_drop_leaks_judges_rows_not_ids(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))
+    bench = spark.createDataFrame([(1, item), (2, "yes no"), (3, None), (4, "")], "item_id long, text string")
+    rows = [(None, "x " + item, 1), (None, "clean words", 2), (5, item, 3), (5, "also clean", 4), (5, "also clean", 4), (6, "Yes, NO!", 5), (7, "yes no maybe", 6), (8, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _leak int")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert sorted(r["_leak"] for r in kept.collect()) == [2, 4, 4, 6, 7] and kept.columns == df.columns
+    # a block for each item gives the same
+    assert sorted(r["_leak"] for r in decontaminate.drop_contaminated(df, bench, block_bytes=1).collect()) == [2, 4, 4, 6, 7]
+
+
+def test_decontamination_finds_planted_edits_at_piece_edges():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    items = [(k, " ".join(word() for _ in range(30))[:150].encode()) for k in range(20)]
+    index = decontaminate.QGramIndex(items, 80, 1 / 16)
+    wanted, text = set(), ""
+    while len(text) < 5 << 20:
+        k = rng.randrange(20)
+        passage = list(items[k][1].decode()[:120])
+        for at in rng.sample(range(len(passage)), 3):
+            passage[at] = rng.choice(["", "q", passage[at] + "z"])
+        # beside the edges of pieces of 2 MB, and padded with runs that fold to one space
+        pad = (2 << 20) - len(text) % (2 << 20) - rng.randrange(60, 140) if len(text) % (2 << 20) > (2 << 20) - 150_000 else rng.randrange(40_000, 90_000)
+        text += (" ".join(word() for _ in range(pad // 5 + 1)))[: max(pad, 1)] + " , ; " + "".join(passage)
+        wanted.add(k)
+    found = {item for _, item, *_ in decontaminate._scan(index, [text.encode()])}
+    assert found == wanted
+    spread = items[0][1].decode().replace(" ", " ,;" * 800)
+    for ahead in (0, (2 << 20) - 30_000):
+        assert [i for _, i, *_ in decontaminate._scan(index, [("zz " * (ahead // 3) + spread).encode()])] == [0]
+
+
+def test_decontamination_of_common_words_is_bounded():
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 8))) for _ in range(400)]
+    weights = [1 / (k + 1) for k in range(400)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, weights, k=n)).encode()
+    items = [(k, prose(200)) for k in range(900)]
+    tracemalloc.start()
+    index = decontaminate.QGramIndex(items, 80, 1 / 16)
+    docs = [prose(2000) + b" " + items[k][1] + b" " + prose(2000) for k in range(12)]
+    found = {(n, i) for n, i, *_ in decontaminate._scan(index, docs)}
+    assert {(k, k) for k in range(12)} <= found
+    assert tracemalloc.get_traced_memory()[1] < 700 << 20
+    tracemalloc.stop()
 
 
 def test_part_of_an_item_and_items_without_id_leak(spark):
@@ -314,6 +402,35 @@ def test_pipeline_stages(spark, sf_dir):
     assert docs.count() > 0
 
 
+def test_drop_stages_are_row_exact(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(4, "alpha beta gamma"), (4, long), (9, long), (None, "only null here now then"), (None, long.upper()), (None, "only null here now then"), (7, "twice"), (7, "twice"), (2, None), (1, ""), (3, "É x"), (3, "é x")]
+    df = spark.createDataFrame([(i, t, k, "o") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _first int, _owner string").repartition(3)
+    exact = exact_dedup.drop_exact_copies(df, keep="largest")
+    got = exact.collect()
+    assert exact.columns == df.columns and len({brute.lowered(r["text"]) for r in got}) == len(got) == len({brute.lowered(t) for _, t in rows})
+    assert {brute.lowered(r["text"]): r["doc_id"] for r in got} == {"alpha beta gamma": 4, long: 9, "only null here now then": None, "twice": 7, "": 2, "É x": 3, "é x": 3}
+    near = near_copies.drop_near_copies(df)
+    got = near.collect()
+    assert near.columns == df.columns and {brute.lowered(r["text"]): r["doc_id"] for r in got} == {"alpha beta gamma": 4, long: 4, "only null here now then": None, "twice": 7, "": 1, "É x": 3, "é x": 3} and len(got) == 7
+    nothing = df.limit(0)
+    assert exact_dedup.drop_exact_copies(nothing).count() == near_copies.drop_near_copies(nothing).count() == 0
+
+
+def test_empty_tables(spark, empty):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert exact_dedup.exact_groups(empty).count() == simhash.near_groups(empty).count() == near_copies.near_groups(empty).count() == 0
+    assert warc_zip.round_trip(pages).count() == 0
+
+
+def test_warc_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", "a"), (1, "u", "a"), (2, None, "a"), (None, "u", "a"), (3, "u\nv", ""), (None, "w", "b")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, n int").repartition(2)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in warc_zip.round_trip(pages).collect()), key=str)
+    wanted = [(1, "response", None, b""), (1, "response", None, b"a"), (1, "response", None, b"a"), (2, "revisit", 1, b""), (None, "response", None, b"a"), (3, "revisit", 1, b""), (None, "response", None, b"b")]
+    assert got == sorted(wanted, key=str)
+
+
 def test_copy_stages_equal_brute_force(spark, docs, odd, monkeypatch):
     import corpus_pipeline
 
