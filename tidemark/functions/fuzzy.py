@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -34,8 +35,12 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * _common(len(a), _masks(a), b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Best ratio of common and differing tokens; 100 when one side's tokens contain the other's."""
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of common and differing tokens; 100 when one side's tokens contain the other's; 0 if below ``least``.
+
+    Common tokens come first on both sides, so their ratio with a whole side
+    follows from lengths alone.
+    """
     left, right = set(a.split()), set(b.split())
     if not left or not right:
         return 0.0
@@ -43,27 +48,31 @@ def token_set_ratio(a: str, b: str) -> float:
     if both and (not only_a or not only_b):
         return 100.0
     shared, rest_a, rest_b = (" ".join(sorted(x)) for x in (both, only_a, only_b))
-    best = indel_ratio(rest_a, rest_b) if not shared else 0.0
-    if shared:
-        full_a, full_b = f"{shared} {rest_a}", f"{shared} {rest_b}"
-        best = max(indel_ratio(full_a, full_b), indel_ratio(shared, full_a), indel_ratio(shared, full_b))
-    return best
+    full_a, full_b = (f"{shared} {rest}" if shared else rest for rest in (rest_a, rest_b))
+    n, n_a, n_b = len(shared), len(full_a), len(full_b)
+    best = max(200.0 * n / (n + n_a), 200.0 * n / (n + n_b)) if shared else 0.0
+    if 200.0 * min(n_a, n_b) / (n_a + n_b) >= max(best, least):  # else the lengths differ too much
+        best = max(best, indel_ratio(full_a, full_b))
+    return best if best >= least else 0.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with any stretch of the longer of its length, or an end of it."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of the shorter text with any stretch of the longer of its length, or an end of it; 0 if below ``least``."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    n, masks, best, bound = len(short), _masks(short), 0.0, len(short)
-    for at in range(1 - n, len(long)):
+    n, masks, best, bound, at = len(short), _masks(short), least - 1e-9, len(short), 1 - len(short)
+    while at < len(long):
         piece = long[max(0, at) : at + n]
-        # a step adds a character at most, so what a stretch shares grows by one at most
         if 200.0 * bound / (n + len(piece)) > best:
             bound = _common(n, masks, piece)
             best = max(best, 200.0 * bound / (n + len(piece)))
-        bound = min(n, bound + 1)
-    return best
+        # a step adds a character at most, so what a stretch shares grows by one at most
+        steps = 1
+        if at >= 0:
+            steps = min(max(1, int(best * n / 100) - bound), max(1, len(long) - n - at))
+        at, bound = at + steps, min(n, bound + steps)
+    return best if best >= least else 0.0
 
 
 def normal_text(s: str | None) -> str | None:
@@ -71,28 +80,55 @@ def normal_text(s: str | None) -> str | None:
     return None if s is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s.strip())).casefold()
 
 
-#: Scripts told apart, by the word in a letter's Unicode name.
-SCRIPTS = ("LATIN", "CYRILLIC", "ARABIC", "HEBREW", "GREEK", "DEVANAGARI", "HIRAGANA", "KATAKANA", "CJK", "HANGUL")
+# Scripts in the order they are tried, and words in a letter's Unicode name that mark them.
+# "HAN" is a part of "HANGUL", so Korean counts as HAN, too.
+SCRIPTS = {
+    "LATIN": ("LATIN",),
+    "CYRILLIC": ("CYRILLIC",),
+    "ARABIC": ("ARABIC",),
+    "HEBREW": ("HEBREW",),
+    "GREEK": ("GREEK",),
+    "DEVANAGARI": ("DEVANAGARI",),
+    "HAN": ("IDEOGRAPH", "HAN"),
+    "HIRAGANA": ("HIRAGANA",),
+    "KATAKANA": ("KATAKANA",),
+}
+
+
+@functools.lru_cache(maxsize=65_536)
+def _script_of_letter(letter: str) -> str:
+    name = unicodedata.name(letter, "")
+    return next((script for script, marks in SCRIPTS.items() if any(m in name for m in marks)), "OTHER")
 
 
 def script_of(s: str | None) -> str:
-    """The script of most letters; ties go to the first in SCRIPTS; none is OTHER."""
-    counts = Counter()
-    for ch, n in Counter(s or "").items():
-        if ch.isalpha():
-            name = unicodedata.name(ch, "")
-            counts[next((k for k in SCRIPTS if k in name), "OTHER")] += n
-    known = [(counts[k], -i, k) for i, k in enumerate(SCRIPTS) if counts[k]]
-    return max(known)[2] if known else "OTHER"
+    """The script of most letters, OTHER being one; the first seen among equals; OTHER without letters."""
+    counts: Counter[str] = Counter()
+    for letter, n in Counter(filter(str.isalpha, s or "")).items():  # letters in the order of first sight
+        counts[_script_of_letter(letter)] += n
+    return max(counts, key=counts.__getitem__, default="OTHER")
+
+
+# Elements whose content is no text of the page.
+SILENT = ("script", "style", "template")
 
 
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.silent = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in SILENT
+
+    def handle_endtag(self, tag):
+        if tag in SILENT and self.silent:
+            self.silent -= 1
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if not self.silent:
+            self.parts.append(data)
 
 
 def html_text(s: str | None, separator: str = "") -> str | None:
@@ -141,14 +177,24 @@ def channel_posts(page: str | None) -> list[dict]:
     return [p | {"text": p["text"].strip(), "media": sorted(p["media"])} for p in parser.posts]
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+def token_set(least: float = 0.0):
+    """``token_set_ratio`` of two columns, 0 below ``least``, as a column function."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x or "", y or "", least) for x, y in zip(a, b)], dtype=float)
+
+    return ratio
 
 
-@F.pandas_udf(T.DoubleType())
-def partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+def partial(least: float):
+    """``partial_ratio`` of two columns, 0 below ``least``, as a column function."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([partial_ratio(x or "", y or "", least) for x, y in zip(a, b)], dtype=float)
+
+    return ratio
 
 
 @F.pandas_udf(T.StringType())
@@ -181,3 +227,41 @@ POSTS = T.ArrayType(
 @F.pandas_udf(POSTS)
 def posts(s: pd.Series) -> pd.Series:
     return s.map(channel_posts)
+
+
+def key_overlap(a: list, b: list, threshold: float, most: int) -> tuple[bool, float, float]:
+    """Whether any two values of one label are alike, and hits and total of the boost, unweighted per label.
+
+    ``a`` and ``b`` hold (label, value, weight); of each label the first
+    ``most`` values in alphabetical order are looked at.
+    """
+    sides: list[dict[str, list[str]]] = []
+    weights: dict[str, float] = {}
+    for side in (a, b):
+        by: dict[str, list[str]] = {}
+        for x in side if side is not None else ():
+            by.setdefault(x["label"], []).append(x["value"])
+            weights[x["label"]] = x["weight"]
+        sides.append({label: sorted(set(values))[:most] for label, values in by.items()})
+    alike, hits, total = False, 0.0, 0.0
+    for label in sides[0].keys() & sides[1].keys():
+        for value in sides[0][label]:
+            best = max(token_set_ratio(value, other) for other in sides[1][label])
+            if best >= threshold:
+                alike = True
+                hits += weights[label] * best / 100
+            total += weights[label]
+    return alike, hits, total
+
+
+OVERLAP = "alike boolean, hits double, total double"
+
+
+def key_overlaps(threshold: float, most: int):
+    """``key_overlap`` of two columns of array<struct<label, value, weight>>, as a column function."""
+
+    @F.pandas_udf(OVERLAP)
+    def overlaps(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([key_overlap(x, y, threshold, most) for x, y in zip(a, b)], columns=["alike", "hits", "total"])
+
+    return overlaps

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words.
 STOPWORDS = (
-    "the a an and or but to of in on at for from with by as is are was were be been being this that these those "
-    "it its they them their we you said says say report reports reported according via new latest breaking news"
-).split()
+    "the", "a", "an", "and", "or", "but", "to", "of", "in", "on", "at", "for", "from", "with", "by", "as", "is", "are", "was", "were", "be", "been",
+    "being", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "you", "said", "says", "say", "report", "reports", "reported",
+    "according", "via", "new", "latest", "breaking", "news",
+)
 # Units of time windows and their letters.
 UNITS = {"hour": "h", "day": "d", "week": "w", "month": "m", "year": "y"}
 # Keyword families; the first that has a word wins.
@@ -111,14 +112,17 @@ def family_of(word: Column) -> Column:
     return out
 
 
-def family_hits(c: Column) -> Column:
-    """Families of all content words that have one, in text order."""
-    return F.filter(F.transform(content_words(plain_words(strip_noise(F.lower(c)))), family_of), lambda f: f.isNotNull())
+def with_words(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``words``, the content words of a text column, and ``hits``, the families of those that have one.
 
+    They are columns of their own, so that what uses them many times reads them.
+    """
+    named = df.withColumn("words", content_words(plain_words(strip_noise(F.lower(F.coalesce(F.col(column), F.lit("")))))))
+    return named.withColumn("hits", F.filter(F.transform("words", family_of), lambda f: f.isNotNull()))
 
-def dominant_family(c: Column) -> Column:
+
+def dominant_family(hits: Column) -> Column:
     """The most frequent family; ties go to the first in the order of families."""
-    hits = family_hits(c)
     counted = F.array(*[_count_of(hits, name, i) for i, name in enumerate(KEYWORDS)])
     best = F.array_max(counted)
     return F.when(best["n"] > 0, best["family"])
@@ -129,14 +133,13 @@ def _count_of(hits: Column, name: str, rank: int) -> Column:
     return F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(name).alias("family"))
 
 
-def semantic_tokens(c: Column) -> Column:
+def semantic_tokens(words: Column, hits: Column) -> Column:
     """``family:word`` for keywords, words with digits or ``%`` or of six characters, and ``primary_family``."""
-    words = content_words(plain_words(strip_noise(F.lower(c))))
     tokens = F.transform(
-        words,
+        F.array_distinct(words),
         lambda w: F.when(family_of(w).isNotNull(), F.concat(family_of(w), F.lit(":"), w)).when(w.rlike("[0-9%]") | (F.length(w) >= 6), w),
     )
-    primary = F.array(F.concat(F.lit("primary_"), dominant_family(c)))
+    primary = F.array(F.concat(F.lit("primary_"), dominant_family(hits)))
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(tokens, primary))))
 
 
@@ -145,18 +148,22 @@ def ngram_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip_noise(F.lower(c)), PUNCTUATION, " "), r"\s+", " "))
 
 
-def char_ngrams(c: Column, shortest: int = 3, longest: int = 5) -> Column:
-    """All character n-grams of cleaned text between boundary spaces; none of an empty text."""
-    t = F.concat(F.lit(" "), c, F.lit(" "))
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(shortest), F.lit(longest)),
-            lambda n: F.when(
-                F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    return F.when(F.length(c) > 0, grams).otherwise(F.array().cast("array<string>"))
+def ngram_rows(df: DataFrame, id_col: str, text_col: str, shortest: int = 3, longest: int = 5) -> DataFrame:
+    """``(id, gram)``: all character n-grams of cleaned texts between boundary spaces; none of an empty text.
+
+    Texts are dealt by id before they grow into grams, so counting a text's
+    grams shuffles nothing more. Cleaned texts are cut into characters once.
+    """
+    cleaned = df.select(F.col(id_col).alias("id"), ngram_text(F.coalesce(F.col(text_col), F.lit(""))).alias("cleaned")).filter("cleaned <> ''")
+    chars = cleaned.repartition("id").select("id", F.split(F.concat(F.lit(" "), "cleaned", F.lit(" ")), "", -1).alias("chars"))
+
+    def of_length(n: int) -> Column:
+        last = F.size("chars") - n
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get("chars", i + k) for k in range(n)]))
+        return F.when(last >= 0, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.filter(F.concat(*map(of_length, range(shortest, longest + 1))), lambda g: g.isNotNull())
+    return chars.filter("size(chars) > 0").select("id", F.explode(grams).alias("gram"))
 
 
 def bucket(gram: Column) -> Column:

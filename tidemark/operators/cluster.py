@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def leaders(items: DataFrame, accepts: DataFrame, taken: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def leaders(items: DataFrame, accepts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``(id, leader)``: which items found a cluster when all are taken one by one.
 
     ``accepts(earlier, later)`` holds the pairs in which ``earlier``, were it a
@@ -14,18 +16,21 @@ def leaders(items: DataFrame, accepts: DataFrame, taken: DataFrame | None = None
     take. An item leads if none of its earlier acceptors leads. Each round
     settles items whose answer no longer depends on an open one, so rounds grow
     with the longest chain of dependencies, not with the rows; lineage is cut
-    by checkpoints. Raises RuntimeError if ``max_rounds`` do not suffice.
+    by checkpoints. The earliest open item settles in every round, so it ends.
     """
     spark = items.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/checkpoints")
     open_items = items.select("id")
     settled = spark.createDataFrame([], "id bigint, leader boolean")
     if taken is not None:
         settled = taken.select("id", F.lit(False).alias("leader")).distinct()
         open_items = open_items.join(taken.select("id"), "id", "left_anti")
     edges = accepts.select("earlier", "later").distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:
         state = settled.select(F.col("id").alias("earlier"), "leader")
         seen = edges.join(state, "earlier", "left").groupBy(F.col("later").alias("id")).agg(
             F.max(F.coalesce("leader", F.lit(False))).alias("led"), F.max(F.col("leader").isNull()).alias("waits")
@@ -37,15 +42,3 @@ def leaders(items: DataFrame, accepts: DataFrame, taken: DataFrame | None = None
         open_items = now.filter("leader IS NULL").select("id")
         if open_items.isEmpty():
             return settled
-    raise RuntimeError(f"clustering did not settle in {max_rounds} rounds")
-
-
-def members(accepts: DataFrame, led: DataFrame) -> DataFrame:
-    """``(id, leader_id)``: followers with the best of the leaders that accept them, the newest among equals.
-
-    ``accepts`` carries ``score`` and ``at``, the leader's place in the order of work.
-    """
-    heads = led.filter("leader").select(F.col("id").alias("earlier"))
-    followers = led.filter("NOT leader").select(F.col("id").alias("later"))
-    usable = accepts.join(heads, "earlier", "left_semi").join(followers, "later", "left_semi")
-    return usable.groupBy(F.col("later").alias("id")).agg(F.max_by("earlier", F.struct("score", "at")).alias("leader_id"))

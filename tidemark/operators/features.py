@@ -20,10 +20,10 @@ ENTITY_LABELS = {"WORK_OF_ART": "WORK", "MISC": "ORG"}
 KEY_LABELS = ("PERSON", "ORG", "EVENT", "LAW")
 # Tokens that mark a text as about an event.
 EVENT_WORDS = (
-    "protest protests demonstration rally unrest uprising riot clash crackdown violence death deaths killed executed casualties fatalities "
-    "blackout shutdown censorship blocked disrupted internet sanctions embargo crisis conflict war activist rights freedom "
-    "primary_protest primary_violence primary_death primary_internet primary_regime"
-).split()
+    "protest", "protests", "demonstration", "rally", "unrest", "uprising", "riot", "clash", "crackdown", "violence", "death", "deaths", "killed",
+    "executed", "casualties", "fatalities", "blackout", "shutdown", "censorship", "blocked", "disrupted", "internet", "sanctions", "embargo", "crisis",
+    "conflict", "war", "activist", "rights", "freedom", "primary_protest", "primary_violence", "primary_death", "primary_internet", "primary_regime",
+)
 EVENT_FAMILIES = ("protest", "violence", "death", "internet", "regime", "sanctions")
 
 #: A source of named entities: (texts) -> array<struct<label, text>> column.
@@ -40,28 +40,46 @@ def weight(label: Column) -> Column:
     return F.coalesce(table[label], F.lit(1.0))
 
 
-def signature(df: DataFrame, id_col: str, text_col: str, entities: EntityExtractor | None = None) -> DataFrame:
-    """``(id, label, value)``, each once. Entity values of two characters or fewer do not count."""
-    t = text.strip_retweet(F.coalesce(F.col(text_col), F.lit("")))
+def signature_arrays(df: DataFrame, id_col: str, text_col: str, entities: EntityExtractor | None = None) -> DataFrame:
+    """``(id, features)``: each text's distinct ``(label, value)`` pairs as one array.
+
+    Entity values of two characters or fewer do not count.
+    """
+    named = text.with_words(df.select(F.col(id_col).alias("id"), text.strip_retweet(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "t")
+    t = F.col("t")
     found = {
         "URL": F.transform(text.find_all(t, text.URL), F.lower), "DOMAIN": F.transform(text.find_all(t, text.DOMAIN), F.lower), "NUM": text.numbers(t),
         "PERCENT": text.percents(t), "TW": text.time_windows(t), "ISO_DATE": text.find_all(t, text.ISO_DATE), "YEAR": text.find_all(t, text.YEAR),
-        "SEMANTIC": text.semantic_tokens(t),
+        "SEMANTIC": text.semantic_tokens(F.col("words"), F.col("hits")),
     }
-    arrays = F.array(*[F.struct(F.lit(label).alias("label"), values.alias("values")) for label, values in found.items()])
+
+    def labelled(label: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
+
+    pairs = [labelled(label, values) for label, values in found.items()]
     if entities is not None:
-        named = F.transform(F.filter(entities(t), lambda e: F.length(F.trim(e["text"])) > 2), lambda e: F.struct(label_of(e["label"]).alias("label"), F.array(F.lower(F.trim(e["text"]))).alias("values")))
-        arrays = F.concat(arrays, named)
-    rows = df.select(F.col(id_col).alias("id"), F.explode(arrays).alias("f")).select("id", "f.label", F.explode("f.values").alias("value"))
-    return rows.distinct()
+        kept = F.filter(entities(t), lambda e: F.length(F.trim(e["text"])) > 2)
+        pairs.append(F.transform(kept, lambda e: F.struct(label_of(e["label"]).alias("label"), F.lower(F.trim(e["text"])).alias("value"))))
+    return named.select("id", F.array_distinct(F.concat(*pairs)).alias("features"))
+
+
+def signature(df: DataFrame, id_col: str, text_col: str, entities: EntityExtractor | None = None) -> DataFrame:
+    """``(id, label, value)``, each once for each row of ``df``."""
+    return signature_arrays(df, id_col, text_col, entities).select("id", F.explode("features").alias("f")).select("id", "f.label", "f.value")
 
 
 def ngram_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, bucket, w, norm)``: log-scaled counts of hashed character n-grams and the vector's length."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode(text.char_ngrams(text.ngram_text(F.col(text_col)))).alias("gram"))
-    counts = rows.groupBy("id", text.bucket(F.col("gram")).alias("bucket")).agg(geo.log_count(F.count("*")).alias("w"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, "id")
+    """``(id, bucket, w)``: log-scaled counts of hashed character n-grams."""
+    rows = text.ngram_rows(df, id_col, text_col)
+    return rows.groupBy("id", text.bucket(F.col("gram")).alias("bucket")).agg(geo.log_count(F.count("*")).alias("w"))
+
+
+def unit_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, buckets, ws)``: a text's n-gram vector of length 1, its buckets in order."""
+    packed = ngram_vectors(df, id_col, text_col).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    return packed.select("id", F.col("v.bucket").alias("buckets"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("ws"))
 
 
 def is_event(semantic_value: Column) -> Column:

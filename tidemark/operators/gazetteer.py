@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -41,11 +41,11 @@ def write_index(index: DataFrame, path: str) -> None:
 def lookup(queries: DataFrame, index: DataFrame, places: DataFrame, limit: int = 50, column: str = "q") -> DataFrame:
     """Candidates of each query: records whose name is the key, the ``limit`` smallest ids of a key.
 
-    A key's cut needs no window over all rows: it is taken from the sorted ids
-    of the key's postings, which are as many as places share a name.
+    Spark cuts a key's ids before it shuffles them, so a name that very many
+    places share sends ``limit`` of them from each task.
     """
     wanted = queries.select(column).distinct().withColumn("key", text.lookup_key(F.col(column)))
     used = index.join(wanted.select("key").distinct(), "key", "left_semi")
-    ids = used.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("geoname_id")), 1, limit).alias("ids"))
-    found = wanted.join(ids, "key").select(column, F.explode("ids").alias("geoname_id"))
-    return found.join(places, "geoname_id")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("geoname_id"))
+    ids = used.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    return wanted.join(ids, "key").select(column, "geoname_id").join(places, "geoname_id")

@@ -133,3 +133,21 @@ def wanted_mentions(entities: Column) -> Column:
         & ~(~e["text"].contains(" ") & (e["text"] == F.lower(e["text"]))),
     )
     return text.distinct_ignoring_case(F.transform(kept, lambda e: e["text"]))
+
+
+def enriched(records: DataFrame, entities: Column, index: DataFrame, places: DataFrame, key: list[str], limit: int = 50) -> DataFrame:
+    """``records`` with ``location_name``, ``lat`` and ``lon`` of the first mentioned place that resolves, where they had no place.
+
+    ``entities`` is an array<struct<label, text>> column over title and text;
+    records with a place, or without any text, are left as they are.
+    """
+    lacking = (F.col("lat").isNull() | F.col("lon").isNull()) & (F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("text"), F.lit(""))).isNotNull())
+    asked = records.filter(lacking).select(F.struct(*key).alias("id"), wanted_mentions(entities).alias("mentions"))
+    queries = asked.select(F.explode(F.slice("mentions", 1, 5)).alias("q")).distinct()
+    found = first_resolved(asked, resolve(queries, index, places, limit)).select(*[F.col(f"id.{k}").alias(f"_{k}") for k in key], F.struct("name", "lat", "lon").alias("_place"))
+    met = records.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
+    has = F.col("_place").isNotNull()
+    return met.withColumns({
+        "location_name": F.when(has, F.col("_place.name")).otherwise(F.col("location_name")),
+        "lat": F.when(has, F.col("_place.lat")).otherwise(F.col("lat")), "lon": F.when(has, F.col("_place.lon")).otherwise(F.col("lon")),
+    }).select(*records.columns)

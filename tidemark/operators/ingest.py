@@ -69,6 +69,23 @@ def new_records(records: DataFrame, stored: DataFrame, arrival: str = "arrival")
     return unseen(keep_first(valid, arrival=arrival), stored)
 
 
+def classified(records: DataFrame, stored: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Every record with its ``disposition``.
+
+    Of a key's storable records the first is INSERTED and the others, or all
+    if the key is in ``stored``, are DUPLICATE. Records that fail validation
+    for another reason than those of ``disposition`` are INVALID.
+    """
+    judged = records.withColumn("disposition", disposition(F.col("published_at"), F.lit(False)))
+    invalid = (F.col("disposition") == "INSERTED") & (F.size(errors()) > 0)
+    judged = judged.withColumn("disposition", F.when(invalid, "INVALID").otherwise(F.col("disposition")))
+    fresh = unseen(keep_first(judged.filter("disposition = 'INSERTED'").select(*KEY, arrival), arrival=arrival), stored)
+    first = fresh.select(F.col(arrival).alias("_first"))
+    met = judged.join(first, F.col(arrival) == F.col("_first"), "left")
+    duplicate = (F.col("disposition") == "INSERTED") & F.col("_first").isNull()
+    return met.withColumn("disposition", F.when(duplicate, "DUPLICATE").otherwise(F.col("disposition"))).drop("_first")
+
+
 def parse_records(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """``(records, dead letters)`` of JSON lines: unknown fields are dropped, lines without required ones are dead."""
     parsed = lines.withColumn("r", F.from_json(column, RECORD))

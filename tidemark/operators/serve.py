@@ -17,11 +17,13 @@ def event_time() -> Column:
 
 def located_stats(items: DataFrame) -> DataFrame:
     """Per cluster: count, mean place (a mean of exactly 0 counts as none), most frequent place name, first and last time."""
+    # sums of decimals do not depend on the order of rows
+    exact = lambda c: F.col(c).cast("decimal(18,12)")
     per_name = items.filter("cluster_id IS NOT NULL").groupBy("cluster_id", "location_name").agg(
-        F.count("*").alias("n"), F.sum("lat").alias("lat"), F.count("lat").alias("n_lat"), F.sum("lon").alias("lon"), F.count("lon").alias("n_lon"),
+        F.count("*").alias("n"), F.sum(exact("lat")).alias("lat"), F.count("lat").alias("n_lat"), F.sum(exact("lon")).alias("lon"), F.count("lon").alias("n_lon"),
         F.min(event_time()).alias("first"), F.max(event_time()).alias("last"),
     )
-    mean = lambda v: F.nullif(F.try_divide(F.sum(v), F.sum(f"n_{v}")), F.lit(0.0))
+    mean = lambda v: F.nullif(F.try_divide(F.sum(v).cast("double"), F.sum(f"n_{v}")), F.lit(0.0))
     # names tie by alphabet: max_by of (count, reversed order) is a min_by of (-count, name)
     top = F.min_by("location_name", F.when(F.col("location_name").isNotNull(), F.struct(-F.col("n"), F.col("location_name"))))
     return per_name.groupBy("cluster_id").agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ class Rules:
     token_set: float = 85.0
     partial: float = 88.0
     min_ngram: float = 0.28
+    min_signature: float = 0.18
     ngram_weight: float = 0.55
     signature_weight: float = 0.35
     min_final: float = 0.36
@@ -26,63 +29,120 @@ class Rules:
     half_life_hours: float = 72.0
     time_weight: float = 0.10
     max_candidates: int = 2500
+    fuzzy_threshold: float = 88.0
+    fuzzy_bonus: float = 0.10
+    fuzzy_values: int = 30
+    script_guard: bool = False
+    cross_script: float | None = 0.72  # the bar between scripts; None: never
+
+
+#: An index has at most so many entries; it is what may be broadcast.
+MAX_ENTRIES = 16_000
+
+
+def checked(entries: DataFrame) -> DataFrame:
+    """``entries``, if they are as few as an index may have."""
+    n = entries.limit(MAX_ENTRIES + 1).count()
+    if n > MAX_ENTRIES:
+        raise ValueError(f"an index has at most {MAX_ENTRIES} entries")
+    return entries
 
 
 def candidates(items: DataFrame, entries: DataFrame, item_features: DataFrame, entry_features: DataFrame, most: int) -> DataFrame:
     """``(id, pos)`` pairs that share a feature, the first ``most`` entries of an item; all entries where none is shared.
 
-    A feature join rather than a cross join. Features meet their entries'
-    positions as sorted lists; the index is as bounded as its refresh (5,000
-    entries), so an item's list is, too.
+    ``entries`` is an index, see MAX_ENTRIES: what features its entries have is
+    broadcast, so an item's features never meet those of other items, however
+    many have them.
     """
     lists = entry_features.groupBy("label", "value").agg(F.collect_set(F.col("id")).alias("entries"))
-    shared = item_features.join(lists, ["label", "value"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
+    shared = item_features.join(F.broadcast(lists), ["label", "value"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("entries"))).alias("entries"))
     pairs = shared.select("id", F.explode(F.slice(F.array_sort("entries"), 1, most)).alias("pos"))
     # items without any shared feature see the whole index
     lonely = items.select("id").join(shared.select("id"), "id", "left_anti")
-    index = entries.agg(F.array_sort(F.collect_list("pos")).alias("entries"))
-    everything = lonely.join(F.broadcast(index)).select("id", F.explode("entries").alias("pos"))  # one row of at most 5,000 numbers
+    index = checked(entries).agg(F.array_sort(F.collect_list("pos")).alias("entries"))
+    everything = lonely.join(F.broadcast(index)).select("id", F.explode("entries").alias("pos"))  # one row, see MAX_ENTRIES
     return pairs.unionByName(everything)
 
 
-def cosine(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(id, pos, ng)``; pairs without a common bucket have 0."""
-    left = pairs.join(a.select("id", "bucket", F.col("w").alias("wa"), F.col("norm").alias("na")), "id")
-    both = left.join(b.select(F.col("id").alias("pos"), "bucket", F.col("w").alias("wb"), F.col("norm").alias("nb")), ["pos", "bucket"])
-    dots = both.groupBy("id", "pos").agg(F.sum(F.col("wa") * F.col("wb") / (F.col("na") * F.col("nb"))).alias("ng"))
-    return pairs.join(dots, ["id", "pos"], "left").select("id", "pos", F.coalesce("ng", F.lit(0.0)).alias("ng"))
+def cosines(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """``(id, pos, ng)`` of all pairs of unit vectors of ``a`` and an index ``b`` with a cosine of ``least`` or more.
+
+    The index lies in memory by bucket. A vector adds up what its buckets hold,
+    so no pair below ``least`` becomes a row.
+    """
+    rows = checked(b).select("id", "buckets", "ws").collect()
+    pos = np.array([r["id"] for r in rows], np.int64)
+    size = np.array([len(r["buckets"]) for r in rows], np.int64)
+    bucket = np.concatenate([np.array(r["buckets"], np.int64) for r in rows]) if rows else np.empty(0, np.int64)
+    weight = np.concatenate([np.array(r["ws"]) for r in rows]) if rows else np.empty(0)
+    order = np.argsort(bucket, kind="stable")
+    first = np.searchsorted(bucket[order], np.arange((1 << 16) + 1))
+    index = a.sparkSession.sparkContext.broadcast((pos, np.repeat(np.arange(len(rows)), size)[order], weight[order], first))
+
+    def meet(batches):
+        pos, entry, weight, first = index.value
+        for batch in batches:
+            found: list[tuple[np.ndarray, ...]] = []
+            for ident, buckets, ws in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2)):
+                k, w = buckets.values.to_numpy(), ws.values.to_numpy()
+                n = first[k + 1] - first[k]
+                at = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                ng = np.bincount(entry[at], weight[at] * np.repeat(w, n), len(pos))
+                hit = np.flatnonzero(ng >= least)
+                found.append((np.full(len(hit), ident), pos[hit], ng[hit]))
+            columns = [np.concatenate(c) for c in zip(*found)] if found else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "pos", "ng"])
+
+    return a.select(F.col("id").cast("long"), "buckets", "ws").mapInArrow(meet, "id long, pos long, ng double")
+
+
+def _total(features_: Column) -> Column:
+    return F.aggregate(features_, F.lit(0.0), lambda sum_, f: sum_ + features.weight(f["label"]))
+
+
+def _of_label(features_: Column, *labels: str) -> Column:
+    return F.filter(features_, lambda f: f["label"].isin(*labels))
+
+
+def compared(pairs: DataFrame, a: DataFrame, b: DataFrame, rules: Rules = Rules(), fuzzy_keys: bool = True) -> DataFrame:
+    """``pairs`` with ``sig``, the weighted Jaccard of their features, and what gates ask: ``shared_key``, ``events``,
+    ``other_dates`` and the fuzzy overlap of key values. ``a`` and ``b`` are signature arrays; ``b`` an index."""
+    left, right = a.withColumnRenamed("features", "fa"), b.select(F.col("id").alias("pos"), F.col("features").alias("fb"))
+    both = pairs.join(left, "id").join(F.broadcast(right), "pos").withColumn("common", F.array_intersect("fa", "fb"))
+    inter = _total(F.col("common"))
+    union = _total(F.col("fa")) + _total(F.col("fb")) - inter
+    event = lambda f: F.exists(_of_label(F.col(f), "SEMANTIC"), lambda x: features.is_event(x["value"]))
+    dates = lambda f: F.size(_of_label(F.col(f), "ISO_DATE"))
+    none = F.struct(F.lit(False).alias("alike"), F.lit(0.0).alias("hits"), F.lit(0.0).alias("total"))
+    keyed = lambda f: F.transform(_of_label(F.col(f), *features.KEY_LABELS), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"), features.weight(x["label"]).alias("weight")))
+    keys = fuzzy.key_overlaps(rules.fuzzy_threshold, rules.fuzzy_values)(keyed("fa"), keyed("fb")) if fuzzy_keys else none
+    return both.select(
+        *pairs.columns, F.when(union > 1e-9, inter / union).otherwise(0.0).alias("sig"), (F.size(_of_label(F.col("common"), *features.KEY_LABELS)) > 0).alias("shared_key"),
+        (event("fa") & event("fb")).alias("events"), ((dates("fa") > 0) & (dates("fb") > 0) & (dates("common") == 0)).alias("other_dates"), keys.alias("keys"),
+    )
 
 
-def weighted_jaccard(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(id, pos, sig, shared_key, dates, shared_dates)``: weighted Jaccard and what the gates need."""
-    w = features.weight(F.col("label"))
+def boosted(rules: Rules) -> Column:
+    """``sig``, raised where it is just too low and keys are alike."""
+    rescued = F.least(F.lit(1.0), F.col("sig") + rules.fuzzy_bonus * F.col("keys.hits") / F.col("keys.total"))
+    near = (F.col("ng") >= rules.min_ngram + 0.05) & (F.col("sig") < rules.min_signature) & (F.col("sig") > 0.75 * rules.min_signature)
+    return F.when(near & (F.col("keys.total") > 1e-9), F.greatest("sig", rescued)).otherwise(F.col("sig"))
 
-    def sums(f, name, as_id):
-        is_date = F.when(F.col("label") == "ISO_DATE", 1)
-        event = F.max(F.coalesce((F.col("label") == "SEMANTIC") & features.is_event(F.col("value")), F.lit(False)))
-        return f.groupBy(F.col("id").alias(as_id)).agg(F.sum(w).alias(f"t_{name}"), F.count(is_date).alias(f"d_{name}"), event.alias(f"e_{name}"))
 
-    common = pairs.join(a, "id").join(b.select(F.col("id").alias("pos"), "label", "value"), ["pos", "label", "value"])
-    met = common.groupBy("id", "pos").agg(
-        F.sum(w).alias("inter"), F.max(F.col("label").isin(*features.KEY_LABELS)).alias("shared_key"), F.count(F.when(F.col("label") == "ISO_DATE", 1)).alias("shared_dates")
-    )
-    joined = pairs.join(met, ["id", "pos"], "left").join(sums(a, "a", "id"), "id", "left").join(sums(b, "b", "pos"), "pos", "left")
-    total = F.coalesce("t_a", F.lit(0.0)) + F.coalesce("t_b", F.lit(0.0)) - F.coalesce("inter", F.lit(0.0))
-    no = F.lit(False)
-    return joined.select(
-        "id", "pos", F.when((total > 1e-9) & F.col("t_a").isNotNull() & F.col("t_b").isNotNull(), F.coalesce("inter", F.lit(0.0)) / total).otherwise(0.0).alias("sig"),
-        F.coalesce("shared_key", no).alias("shared_key"), (F.coalesce("e_a", no) & F.coalesce("e_b", no)).alias("events"),
-        ((F.coalesce("d_a", F.lit(0)) > 0) & (F.coalesce("d_b", F.lit(0)) > 0) & (F.coalesce("shared_dates", F.lit(0)) == 0)).alias("other_dates"),
-    )
+def passes_gate() -> Column:
+    """Very similar, or a shared key entity, or both about events and similar, or alike key entities and similar."""
+    ng = F.col("ng")
+    return (ng >= 0.60) | F.col("shared_key") | (F.col("events") & (ng >= 0.45)) | (F.col("keys.alike") & (ng >= 0.42))
 
 
-def passes_gate(ng: str = "ng") -> Column:
-    """Very similar, or a shared key entity, or both about events and similar."""
-    return (F.col(ng) >= 0.60) | F.col("shared_key") | (F.col("events") & (F.col(ng) >= 0.45))
+def base_score(rules: Rules) -> Column:
+    return rules.ngram_weight * F.col("ng") + rules.signature_weight * F.col("sig") - F.when(F.col("other_dates"), rules.date_penalty).otherwise(0.0)
 
 
 def final_score(rules: Rules, now: Column, last_seen: Column) -> Column:
-    base = rules.ngram_weight * F.col("ng") + rules.signature_weight * F.col("sig") - F.when(F.col("other_dates"), rules.date_penalty).otherwise(0.0)
+    base = base_score(rules)
     age = geo.decay(times.age_hours(now, last_seen), rules.half_life_hours)
     return base + F.when(last_seen.isNotNull(), rules.time_weight * (age - 1)).otherwise(0.0)
 
@@ -91,27 +151,42 @@ def too_old(now: Column, last_seen: Column, days: int) -> Column:
     return F.coalesce(times.epoch_seconds(now) - times.epoch_seconds(last_seen) > days * 86_400, F.lit(False))
 
 
-def semantic_matches(items: DataFrame, entries: DataFrame, rules: Rules = Rules(), pairs: DataFrame | None = None) -> DataFrame:
-    """``(id, pos, score)`` of pairs that pass every gate. ``items``: id, text, created_at; ``entries``: pos, text, last_seen_at."""
+def semantic_matches(
+    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), pairs: DataFrame | None = None, entities: features.EntityExtractor | None = None
+) -> DataFrame:
+    """``(id, pos, score)`` of pairs that pass every gate. ``items``: id, text, created_at; ``entries``, an index: pos, text, last_seen_at."""
     rep = entries.select(F.col("pos").alias("id"), F.col("text"))
-    fa, fb = features.signature(items, "id", "text"), features.signature(rep, "id", "text")
+    fa, fb = features.signature_arrays(items, "id", "text", entities), features.signature_arrays(rep, "id", "text", entities)
     if pairs is None:
-        pairs = candidates(items, entries, fa, fb, rules.max_candidates)
-    near = cosine(pairs, features.ngram_vectors(items, "id", "text"), features.ngram_vectors(rep, "id", "text")).filter(F.col("ng") >= rules.min_ngram)
-    judged = near.join(weighted_jaccard(near.select("id", "pos"), fa, fb), ["id", "pos"]).filter(passes_gate())
-    timed = judged.join(items.select("id", "created_at"), "id").join(entries.select("pos", "last_seen_at"), "pos")
+        pairs = candidates(items, entries, _rows(fa), _rows(fb), rules.max_candidates)
+    near = cosines(features.unit_vectors(items, "id", "text"), features.unit_vectors(rep, "id", "text"), rules.min_ngram).join(pairs, ["id", "pos"], "left_semi")
+    timed = near.join(items.select("id", "created_at"), "id").join(F.broadcast(entries.select("pos", "last_seen_at")), "pos")
     timed = timed.filter(~too_old(F.col("created_at"), F.col("last_seen_at"), rules.max_age_days))
-    return timed.withColumn("score", final_score(rules, F.col("created_at"), F.col("last_seen_at"))).filter(F.col("score") >= rules.min_final).select("id", "pos", "score")
+    if rules.script_guard:
+        timed = timed.join(items.select("id", fuzzy.script("text").alias("sa")), "id").join(F.broadcast(entries.select("pos", fuzzy.script("text").alias("sb"))), "pos")
+        timed = timed.withColumn("crosses", (F.col("sa") != "OTHER") & (F.col("sb") != "OTHER") & (F.col("sa") != F.col("sb"))).drop("sa", "sb")
+        if rules.cross_script is None:
+            timed = timed.filter(~F.col("crosses"))
+    judged = compared(timed, fa, fb, rules, entities is not None).withColumn("sig", boosted(rules)).filter(passes_gate())
+    if rules.script_guard and rules.cross_script is not None:
+        judged = judged.filter(~F.col("crosses") | (base_score(rules) >= rules.cross_script))
+    return judged.withColumn("score", final_score(rules, F.col("created_at"), F.col("last_seen_at"))).filter(F.col("score") >= rules.min_final).select("id", "pos", "score")
+
+
+def _rows(arrays: DataFrame) -> DataFrame:
+    return arrays.select("id", F.explode("features").alias("f")).select("id", "f.label", "f.value")
 
 
 def lexical_matches(items: DataFrame, entries: DataFrame, pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones where no entry matches by token set."""
+    """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones by stretches."""
     a = items.select("id", text.canonical(F.col("text")).alias("ca")).filter("ca <> ''")
     b = entries.select("pos", text.canonical(F.col("text")).alias("cb")).filter("cb <> ''")
-    scored = pairs.join(a, "id").join(b, "pos").select("id", "pos", "ca", "cb", fuzzy.token_set("ca", "cb").alias("ts"))
-    sets = scored.filter(F.col("ts") >= rules.token_set).select("id", "pos", (F.col("ts") / 100).alias("score"), F.lit("near_dup_rapidfuzz").alias("reason"))
-    rest = scored.join(sets.select("id").distinct(), "id", "left_anti").select("id", "pos", fuzzy.partial("ca", "cb").alias("p"))
-    return sets.unionByName(rest.filter(F.col("p") >= rules.partial).select("id", "pos", (F.col("p") / 100).alias("score"), F.lit("near_dup_partial").alias("reason")))
+    met = pairs.join(a, "id").join(F.broadcast(b), "pos")
+    scored = met.select("id", "pos", fuzzy.token_set(rules.token_set)("ca", "cb").alias("ts"), fuzzy.partial(rules.partial)("ca", "cb").alias("p"))
+    kinds = F.array(
+        F.struct((F.col("ts") / 100).alias("score"), F.lit("near_dup_rapidfuzz").alias("reason")), F.struct((F.col("p") / 100).alias("score"), F.lit("near_dup_partial").alias("reason"))
+    )
+    return scored.filter("ts > 0 OR p > 0").select("id", "pos", F.explode(kinds).alias("k")).select("id", "pos", "k.*").filter("score > 0")
 
 
 def best(matches: DataFrame) -> DataFrame:
@@ -120,15 +195,32 @@ def best(matches: DataFrame) -> DataFrame:
     return matches.groupBy("id").agg(top.alias("m")).select("id", "m.*")
 
 
-def assign(items: DataFrame, entries: DataFrame, rules: Rules = Rules(), lexical: bool = True) -> DataFrame:
-    """``(id, pos, score, reason)`` of items that match an entry; a lexical match beats any other."""
+def accepted(
+    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), lexical: bool = True, entities: features.EntityExtractor | None = None
+) -> DataFrame:
+    """``(id, pos, score, reason)`` of every pair that one of the three stages accepts, for each that does."""
     rep = entries.select(F.col("pos").alias("id"), F.col("text"))
-    pairs = candidates(items, entries, features.signature(items, "id", "text"), features.signature(rep, "id", "text"), rules.max_candidates)
-    found = semantic_matches(items, entries, rules, pairs).withColumn("reason", F.lit("ngram+ner_signature"))
-    if not lexical:
-        return best(found)
-    first = best(lexical_matches(items, entries, pairs, rules))
-    return first.unionByName(best(found.join(first.select("id"), "id", "left_anti")))
+    pairs = candidates(items, entries, features.signature(items, "id", "text", entities), features.signature(rep, "id", "text", entities), rules.max_candidates)
+    found = semantic_matches(items, entries, rules, pairs, entities).withColumn("reason", F.lit(STAGES[-1]))
+    return lexical_matches(items, entries, pairs, rules).unionByName(found) if lexical else found
+
+
+#: Reasons in the order of the stages; a match of an earlier stage beats all of later ones.
+STAGES = ("near_dup_rapidfuzz", "near_dup_partial", "ngram+ner_signature")
+
+
+def first_stage_best(found: DataFrame) -> DataFrame:
+    """Each item's best match of the first stage that accepts it."""
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("reason"))
+    top = F.max_by(F.struct("pos", "score", "reason"), F.struct(F.negate(stage).alias("stage"), "score", F.negate("pos").alias("order")))
+    return found.groupBy("id").agg(top.alias("m")).select("id", "m.*")
+
+
+def assign(
+    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), lexical: bool = True, entities: features.EntityExtractor | None = None
+) -> DataFrame:
+    """``(id, pos, score, reason)`` of items that match an entry; a lexical match beats any other."""
+    return first_stage_best(accepted(items, entries, rules, lexical, entities))
 
 
 def index_of(clusters: DataFrame, as_of: Column, hours: int = 72, most: int = 5000) -> DataFrame:

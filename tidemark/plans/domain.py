@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text, times
-from ..operators import cluster, features, gazetteer, geocode, ingest, live, similarity
+from ..operators import clustering, features, gazetteer, geocode, ingest, live, similarity
 from ..sources import feeds
 from .fixtures import AS_OF
 from .registry import query
 from .relational import VALID
-from .textual import BUCKETS, SEMANTIC
+from .textual import NUMBERS, SEMANTIC, TWS, bucket_sql, gram_sql
 
 RULES = similarity.Rules()
 
@@ -141,17 +141,29 @@ def entity_filter(t):
     return t.items.select("id", F.array_join(geocode.wanted_mentions(found), "|").alias("kept"))
 
 
-SIGNATURE = rf"""(SELECT DISTINCT id, label, value FROM (SELECT id, 'URL' AS label, unnest(list_transform(regexp_extract_all(item_text, 'https?://\S+'), lambda x: lower(x))) AS value FROM items
-  UNION ALL SELECT id, 'DOMAIN', unnest(regexp_extract_all(lower(item_text), '\b(?:[a-z0-9-]+\.)+[a-z]{{2,}}\b')) FROM items
-  UNION ALL SELECT id, 'ISO_DATE', unnest(regexp_extract_all(item_text, '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b')) FROM items
-  UNION ALL SELECT id, 'YEAR', unnest(regexp_extract_all(item_text, '\b(?:19[0-9]{{2}}|20[0-9]{{2}}|2100)\b')) FROM items
-  UNION ALL SELECT id, 'SEMANTIC', unnest(string_split(tokens, '|')) FROM ({SEMANTIC})))"""
-CHECKED_LABELS = ("URL", "DOMAIN", "ISO_DATE", "YEAR", "SEMANTIC")
+def signature_sql(table: str) -> str:
+    """(id, label, value) of the eight labels that need no entities."""
+    word = r"[\p{L}\p{N}_]"
+    return rf"""(SELECT DISTINCT id, label, value FROM (SELECT id, 'URL' AS label, unnest(list_transform(regexp_extract_all(item_text, 'https?://\S+'), lambda x: lower(x))) AS value FROM {table}
+  UNION ALL SELECT id, 'DOMAIN', unnest(regexp_extract_all(lower(item_text), '\b(?:[a-z0-9-]+\.)+[a-z]{{2,}}\b')) FROM {table}
+  UNION ALL SELECT id, 'NUM', unnest({NUMBERS.format('item_text')}) FROM {table}
+  UNION ALL SELECT id, 'PERCENT', unnest(regexp_extract_all(item_text, '\b([0-9]{{1,3}})\s*%{word}', 1)) || '%' FROM {table}
+  UNION ALL SELECT id, 'TW', unnest({TWS.format('item_text')}) FROM {table}
+  UNION ALL SELECT id, 'ISO_DATE', unnest(regexp_extract_all(item_text, '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b')) FROM {table}
+  UNION ALL SELECT id, 'YEAR', unnest(regexp_extract_all(item_text, '\b(?:19[0-9]{{2}}|20[0-9]{{2}}|2100)\b')) FROM {table}
+  UNION ALL SELECT id, 'SEMANTIC', unnest(string_split(tokens, '|')) FROM ({SEMANTIC.replace('FROM items', f'FROM {table}')})))"""
+
+
+SIGNATURE = signature_sql("items")
+#: Clusters of the last 72 hours, newest first, at most 5,000, as entries.
+INDEX = f"""(SELECT row_number() OVER (ORDER BY last_seen_at DESC, cluster_id) AS id, title AS item_text, last_seen_at AS ts FROM clusters
+  WHERE last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR ORDER BY last_seen_at DESC, cluster_id LIMIT 5000)"""
+WEIGHT = "CASE label WHEN 'URL' THEN 0.4 WHEN 'ISO_DATE' THEN 0.7 WHEN 'YEAR' THEN 0.6 WHEN 'SEMANTIC' THEN 1.3 WHEN 'NUM' THEN 0.7 WHEN 'TW' THEN 0.7 WHEN 'PERCENT' THEN 0.6 ELSE 1.0 END::DOUBLE"
 
 
 @query("SIG-01", f"SELECT id, label, value FROM {SIGNATURE}")
 def signatures(t):
-    return features.signature(t.items, "id", "item_text").filter(F.col("label").isin(*CHECKED_LABELS))
+    return features.signature(t.items, "id", "item_text")
 
 
 @query("SIG-02", "SELECT event_type, CASE event_type WHEN 'click' THEN 'WORK' WHEN 'view' THEN 'ORG' ELSE 'PERSON' END AS label FROM (SELECT DISTINCT event_type FROM events)")
@@ -160,7 +172,7 @@ def entity_labels(t):
     return t.table("events").select("event_type").distinct().select("event_type", features.label_of(given).alias("label"))
 
 
-@query("SIG-03", f"SELECT id, round(sum(CASE label WHEN 'URL' THEN 0.4 WHEN 'ISO_DATE' THEN 0.7 WHEN 'YEAR' THEN 0.6 WHEN 'SEMANTIC' THEN 1.3 ELSE 1.0 END)::DOUBLE, 6) AS w FROM {SIGNATURE} GROUP BY 1")
+@query("SIG-03", f"SELECT id, round(sum({WEIGHT}), 6) AS w FROM {SIGNATURE} GROUP BY 1")
 def label_weights(t):
     return signatures(t).groupBy("id").agg(F.round(F.sum(features.weight(F.col("label"))), 6).alias("w"))
 
@@ -172,84 +184,93 @@ def event_like(t):
 
 
 def entries(t):
-    return t.items.filter("id % 48 = 1").select(F.col("id").alias("pos"), F.substring("item_text", 1, 200).alias("text"), F.col("ts").alias("last_seen_at"))
+    return similarity.index_of(t.clusters, t.as_of)
 
 
 def entry_features(t):
-    return features.signature(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text").filter(F.col("label").isin(*CHECKED_LABELS))
+    return features.signature(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text")
 
 
-ENTRY_SIGNATURE = SIGNATURE.replace("FROM items", "FROM (SELECT * REPLACE (substring(item_text, 1, 200) AS item_text) FROM items WHERE id % 48 = 1)")
-PAIRS = f"(SELECT DISTINCT a.id, b.id AS pos FROM {SIGNATURE} a JOIN {ENTRY_SIGNATURE} b USING (label, value))"
+ENTRY_SIGNATURE = signature_sql(INDEX)
+SHARING = f"(SELECT DISTINCT a.id, b.id AS pos FROM {SIGNATURE} a JOIN {ENTRY_SIGNATURE} b USING (label, value))"
+PAIRS = f"(SELECT id, pos FROM {SHARING} UNION ALL SELECT i.id, e.id FROM items i, {INDEX} e WHERE i.id NOT IN (SELECT id FROM {SHARING}))"
 
 
-@query("JOIN-07", f"SELECT id, pos FROM {PAIRS} UNION ALL SELECT i.id, e.id FROM items i, (SELECT id FROM items WHERE id % 48 = 1) e WHERE i.id NOT IN (SELECT id FROM {PAIRS})")
+@query("JOIN-07", f"SELECT id, pos FROM {PAIRS}")
 def candidate_pairs(t):
     return similarity.candidates(t.items, entries(t), signatures(t), entry_features(t), 2500)
 
 
-@query("WIN-03", f"SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM {PAIRS}) WHERE r <= 3")
+@query("WIN-03", f"SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM {SHARING}) WHERE r <= 3")
 def candidate_cap(t):
     own = signatures(t)
     capped = similarity.candidates(t.items, entries(t), own, entry_features(t), 3)
-    shared = own.join(entry_features(t).select("label", "value").distinct(), ["label", "value"]).select("id").distinct()
+    shared = own.join(F.broadcast(entry_features(t).select("label", "value").distinct()), ["label", "value"]).select("id").distinct()
     return capped.join(shared, "id", "left_semi")
 
 
-WEIGHT = "CASE label WHEN 'URL' THEN 0.4 WHEN 'ISO_DATE' THEN 0.7 WHEN 'YEAR' THEN 0.6 WHEN 'SEMANTIC' THEN 1.3 ELSE 1.0 END::DOUBLE"
 JACCARD = f"""(WITH a AS {SIGNATURE}, b AS {ENTRY_SIGNATURE}, ta AS (SELECT id, sum({WEIGHT}) AS t FROM a GROUP BY 1), tb AS (SELECT id, sum({WEIGHT}) AS t FROM b GROUP BY 1),
   i AS (SELECT a.id, b.id AS pos, sum({WEIGHT.replace('label', 'a.label')}) AS inter FROM a JOIN b ON a.label = b.label AND a.value = b.value GROUP BY 1, 2)
   SELECT i.id, i.pos, inter / (ta.t + tb.t - inter) AS sig FROM i JOIN ta ON ta.id = i.id JOIN tb ON tb.id = i.pos)"""
 
 
-def shared_pairs(t):
-    own = signatures(t)
-    return own.join(entry_features(t).select(F.col("id").alias("pos"), "label", "value"), ["label", "value"]).select("id", "pos").distinct()
+def signature_arrays(t):
+    return features.signature_arrays(t.items, "id", "item_text")
+
+
+def entry_arrays(t):
+    return features.signature_arrays(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text")
 
 
 @query("SIM-01", f"SELECT id, pos, round(sig + 1e-9, 6) AS sig FROM {JACCARD}")
 def jaccard(t):
-    scored = similarity.weighted_jaccard(shared_pairs(t), signatures(t), entry_features(t))
+    pairs = signatures(t).join(F.broadcast(entry_features(t).withColumnRenamed("id", "pos")), ["label", "value"]).select("id", "pos").distinct()
+    scored = similarity.compared(pairs, signature_arrays(t), entry_arrays(t), fuzzy_keys=False)
     return scored.select("id", "pos", F.round(F.col("sig") + 1e-9, 6).alias("sig"))
 
 
-VECTOR = f"(SELECT id, bucket, 1 + ln(1 + n) AS w FROM ({BUCKETS}))"
-COSINE = f"""(WITH v AS {VECTOR}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1)
-  SELECT a.id, b.id AS pos, sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)) AS ng FROM v a JOIN v b ON a.bucket = b.bucket AND b.id % 48 = 1 JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY 1, 2)"""
+def vector_sql(table):
+    return f"(SELECT id, bucket, 1 + ln(1 + n) AS w FROM ({bucket_sql(gram_sql(table, 'item_text'))}))"
 
 
-def title_cosines(t):
-    vectors = features.ngram_vectors(t.items, "id", "title")
-    index_ids = t.items.filter("id % 48 = 1").select(F.col("id").alias("pos"))
-    pairs = vectors.select("id", "bucket").join(vectors.join(index_ids, vectors.id == index_ids.pos, "left_semi").select(F.col("id").alias("pos"), "bucket"), "bucket")
-    return similarity.cosine(pairs.select("id", "pos").distinct(), vectors, vectors)
+COSINE = f"""(WITH v AS {vector_sql('items')}, e AS {vector_sql(INDEX)}, nv AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1), ne AS (SELECT id, sqrt(sum(w * w)) AS norm FROM e GROUP BY 1),
+  d AS (SELECT v.id, e.id AS pos, sum(v.w * e.w) AS dot FROM v JOIN e ON v.bucket = e.bucket GROUP BY 1, 2)
+  SELECT d.id, d.pos, dot / (nv.norm * ne.norm) AS ng FROM d JOIN nv ON nv.id = d.id JOIN ne ON ne.id = d.pos WHERE dot / (nv.norm * ne.norm) >= 0.28)"""
+
+
+def near_pairs(t):
+    """Items and entries whose n-gram cosine passes the gate."""
+    own = features.unit_vectors(t.items, "id", "item_text")
+    return similarity.cosines(own, features.unit_vectors(entries(t), "pos", "text"), RULES.min_ngram)
 
 
 @query("MATH-05", f"SELECT id, pos, round(ng, 6) AS ng FROM {COSINE}")
-def cosines(t):
-    return title_cosines(t).select("id", "pos", F.round("ng", 6).alias("ng"))
+def cosine_values(t):
+    return near_pairs(t).select("id", "pos", F.round("ng", 6).alias("ng"))
 
 
-@query("SIM-02", f"SELECT id, pos FROM {COSINE} WHERE ng >= 0.28")
+@query("SIM-02", f"SELECT id, pos FROM {COSINE}")
 def cosine_gate(t):
-    return title_cosines(t).filter(F.col("ng") >= RULES.min_ngram).select("id", "pos")
+    return near_pairs(t).select("id", "pos")
 
 
 @query("WIN-04", f"SELECT id, arg_max(pos, ng - pos * 1e-12) AS pos FROM {COSINE} GROUP BY 1")
 def first_best(t):
-    return similarity.best(title_cosines(t).withColumnRenamed("ng", "score")).select("id", "pos")
+    return similarity.best(near_pairs(t).withColumnRenamed("ng", "score")).select("id", "pos")
 
 
 EVENTS = "(SELECT id, bool_or(regexp_matches(value, '^(protest|violence|death|internet|regime|sanctions):') OR value LIKE 'primary_%' AND value NOT IN ('primary_media', 'primary_activist', 'primary_sanctions')) AS e FROM {} WHERE label = 'SEMANTIC' GROUP BY 1)"
-DATES = "(SELECT id, string_agg(value, ',') AS d FROM {} WHERE label = 'ISO_DATE' GROUP BY 1)"
-JUDGED = f"""(SELECT j.id, j.pos, ng, sig, coalesce(ea.e, false) AND coalesce(eb.e, false) AS events, da.d IS NOT NULL AND db.d IS NOT NULL AND da.d <> db.d AS other_dates
-  FROM {JACCARD} j JOIN {COSINE} c ON c.id = j.id AND c.pos = j.pos LEFT JOIN {EVENTS.format(SIGNATURE)} ea ON ea.id = j.id LEFT JOIN {EVENTS.format(ENTRY_SIGNATURE)} eb ON eb.id = j.pos
-  LEFT JOIN {DATES.format(SIGNATURE)} da ON da.id = j.id LEFT JOIN {DATES.format(ENTRY_SIGNATURE)} db ON db.id = j.pos)"""
+DATES = "(SELECT id, list(value) AS d FROM {} WHERE label = 'ISO_DATE' GROUP BY 1)"
+JUDGED = f"""(SELECT c.id, c.pos, ng, coalesce(sig, 0) AS sig, coalesce(ea.e, false) AND coalesce(eb.e, false) AS events,
+  da.d IS NOT NULL AND db.d IS NOT NULL AND NOT coalesce(list_has_any(da.d, db.d), false) AS other_dates
+  FROM {COSINE} c JOIN {PAIRS} p ON p.id = c.id AND p.pos = c.pos LEFT JOIN {JACCARD} j ON c.id = j.id AND c.pos = j.pos LEFT JOIN {EVENTS.format(SIGNATURE)} ea ON ea.id = c.id LEFT JOIN {EVENTS.format(ENTRY_SIGNATURE)} eb ON eb.id = c.pos
+  LEFT JOIN {DATES.format(SIGNATURE)} da ON da.id = c.id LEFT JOIN {DATES.format(ENTRY_SIGNATURE)} db ON db.id = c.pos)"""
 
 
 def judged(t):
-    scored = similarity.weighted_jaccard(shared_pairs(t), signatures(t), entry_features(t))
-    return scored.join(title_cosines(t), ["id", "pos"])
+    fa, fb = signature_arrays(t), entry_arrays(t)
+    near = near_pairs(t).join(candidate_pairs(t), ["id", "pos"], "left_semi")
+    return similarity.compared(near, fa, fb, fuzzy_keys=False)
 
 
 @query("SIM-03", f"SELECT id, pos FROM {JUDGED} WHERE ng >= 0.60 OR (events AND ng >= 0.45)")
@@ -263,11 +284,11 @@ def date_penalty(t):
 
 
 FINAL = f"""(SELECT g.id, g.pos, 0.55 * ng + 0.35 * sig - CASE WHEN other_dates THEN 0.08 ELSE 0 END + 0.10 * (pow(2.0, -greatest(0, CAST(floor(epoch(i.ts)) AS BIGINT) - CAST(floor(epoch(e.ts)) AS BIGINT)) / 3600.0 / 72.0) - 1) AS score
-  FROM {JUDGED} g JOIN items i ON i.id = g.id JOIN items e ON e.id = g.pos WHERE ng >= 0.28)"""
+  FROM {JUDGED} g JOIN items i ON i.id = g.id JOIN {INDEX} e ON e.id = g.pos)"""
 
 
 def finals(t):
-    timed = judged(t).filter(F.col("ng") >= RULES.min_ngram).join(t.items.select("id", F.col("ts").alias("created_at")), "id").join(entries(t).drop("text"), "pos")
+    timed = judged(t).join(t.items.select("id", F.col("ts").alias("created_at")), "id").join(F.broadcast(entries(t).select("pos", "last_seen_at")), "pos")
     return timed.withColumn("score", similarity.final_score(RULES, F.col("created_at"), F.col("last_seen_at")))
 
 
@@ -293,30 +314,58 @@ def norm_text(t):
     return t.items.select("id", fuzzy.norm_text(F.regexp_replace("title", "[^ -~]", "")).alias("norm"))
 
 
-@query("STR-08", "SELECT id, CASE WHEN regexp_matches(title, '\\p{Latin}') THEN 'LATIN' ELSE 'OTHER' END AS script FROM items")
+SAMPLES = ["слово два", "نص عربي", "טקסט כאן", "κείμενο εδώ", "पाठ यहाँ", "漢字漢字", "ひらがなで", "カタカナで", "한국어다", "ქართული", "12 34", "ab слово", "слово ab cd ef"]
+SAMPLE = "(CASE id % 14 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SAMPLES)) + " ELSE title END)"
+
+
+def script_sql(text: str) -> str:
+    """Most letters by script; OTHER is what no other takes; no two are equal in these rows."""
+    n = lambda script: f"len(regexp_extract_all({text}, '\\p{{{script}}}'))"
+    known = {"LATIN": ["Latin"], "CYRILLIC": ["Cyrillic"], "ARABIC": ["Arabic"], "HEBREW": ["Hebrew"], "GREEK": ["Greek"], "DEVANAGARI": ["Devanagari"], "HAN": ["Han", "Hangul"], "HIRAGANA": ["Hiragana"], "KATAKANA": ["Katakana"]}
+    counts = {k: " + ".join(map(n, v)) for k, v in known.items()}
+    counts["DEVANAGARI"] = f"len(regexp_extract_all(regexp_replace({text}, '\\p{{M}}', '', 'g'), '\\p{{Devanagari}}'))"
+    counts["OTHER"] = f"{n('L')} - ({' + '.join(counts.values())})"
+    listed = ", ".join(f"{{'n': {c}, 's': '{k}'}}" for k, c in counts.items())
+    return f"(SELECT CASE WHEN max(u.n) > 0 THEN arg_max(u.s, u.n) ELSE 'OTHER' END FROM (SELECT unnest([{listed}]) AS u))"
+
+
+@query("STR-08", f"SELECT id, {script_sql(SAMPLE)} AS script FROM items")
 def script(t):
-    return t.items.select("id", fuzzy.script(F.col("title")).alias("script"))
+    return t.items.select("id", fuzzy.script(F.expr(SAMPLE)).alias("script"))
 
 
-@query("AGG-15", "SELECT CASE WHEN regexp_matches(body, '\\p{Latin}') THEN 'LATIN' ELSE 'OTHER' END AS script, count(*) AS n FROM items GROUP BY 1")
+@query("AGG-15", f"SELECT {script_sql(SAMPLE)} AS script, count(*) AS n FROM items GROUP BY 1")
 def script_histogram(t):
-    return t.items.groupBy(fuzzy.script(F.col("body")).alias("script")).agg(F.count("*").alias("n"))
+    return t.items.groupBy(fuzzy.script(F.expr(SAMPLE)).alias("script")).agg(F.count("*").alias("n"))
+
+
+SILENT_SQL = "(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
+TAG_SQL = "<!?[a-zA-Z/][^>]*>"
+#: The character references of the test pages; ``&amp;`` comes last.
+REFERENCES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
 
+def unescaped_sql(column: str) -> str:
+    for name, character in REFERENCES.items():
+        column = f"replace({column}, '{name}', '{character}')"
+    return rf"regexp_replace({column}, '^\s+|\s+$', '', 'g')"
 
-@query("STR-14")
+
+@query("STR-14", f"SELECT page_id, {unescaped_sql(f"regexp_replace(regexp_replace(html, '{SILENT_SQL}', '', 'g'), '{TAG_SQL}', '', 'g')")} AS text FROM pages")
 def page_texts(t):
     return t.table("pages").select("page_id", fuzzy.page_text(F.col("html")).alias("text"))
 
 
-@query("STR-15")
+@query("STR-15", f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '{SILENT_SQL}', chr(1), 'g'), '{TAG_SQL}', chr(1), 'g'), chr(1)), lambda x: {unescaped_sql('x')}), lambda x: x <> ''), ' ') AS text FROM pages")
 def spaced_page_texts(t):
     return t.table("pages").select("page_id", fuzzy.spaced_page_text(F.col("html")).alias("text"))
 
 
-@query("STR-25", "SELECT id, 100.0::DOUBLE AS score FROM items WHERE len(string_split(title, ' ')) >= 2 AND regexp_matches(title, '[A-Za-z]')")
+@query("STR-25", "SELECT id, round((200.0 * greatest(5.0 / (la + lb), 4.0 / (4 + la), 4.0 / (4 + lb)))::DOUBLE, 6) AS score FROM (SELECT id, 6 + id % 20 AS la, 6 + id % 15 AS lb FROM items)")
 def token_set(t):
-    two = t.items.filter((F.size(F.split("title", " ", -1)) >= 2) & F.col("title").rlike("[A-Za-z]"))
-    return two.select("id", fuzzy.token_set(F.col("title"), F.concat("title", F.lit(" more words"))).alias("score"))
+    """Sides share ``news``; their other tokens have no letter in common, so ratios follow from lengths."""
+    side = lambda letter, n: F.concat(F.lit("news "), F.repeat(F.lit(letter), (F.col("id") % n + 1).cast("int")))
+    return t.items.select("id", F.round(fuzzy.token_set()(side("b", 20), side("c", 15)), 6).alias("score"))
 
 
 @query("AGG-18", "SELECT mmsi, min(seen) AS first_seen, max(seen) AS last_seen, arg_max(message_type, event_id) AS last_message_type, round(arg_max(sog, event_id) FILTER (sog IS NOT NULL), 6) AS sog FROM vessel_messages GROUP BY 1")
@@ -343,7 +392,7 @@ def aircraft(t):
     return made.select("icao", "callsign", "lat", "lon", F.coalesce("alt_baro_ft", F.lit(-1)).alias("alt"), F.col("vertical_rate_fpm").alias("rate"))
 
 
-@query("SRC-02", "SELECT id, 'rss' AS source, source_id, 1706659200 AS collected_at FROM items")
+@query("SRC-02", f"SELECT id, 'rss' AS source, source_id, CAST(epoch(TIMESTAMP '{AS_OF}') AS INTEGER) AS collected_at FROM items")
 def create_record(t):
     made = feeds.stamp(t.items.select("id", "source_id"), "rss", times.epoch_seconds(t.as_of))
     return made.select("id", "source", "source_id", F.col("collected_at").cast("int").alias("collected_at"))
@@ -378,9 +427,9 @@ def fetch_plan(t):
     return feeds.mastodon_plan(t.table("region").select(F.col("r_name").alias("instance")), ["news", "world"])
 
 
-@query("SRC-15", "SELECT id, substring(trim(body), 1, 100) AS title, 'https://m/' || id AS source_id FROM items WHERE id % 3 = 0")
+@query("SRC-15", "SELECT id, substring(trim(body), 1, 100) AS title, 'https://m/' || id AS source_id FROM items")
 def mastodon_records(t):
-    raw = t.items.filter("id % 3 = 0").select("id", F.concat(F.lit("https://m/"), "id").alias("url"), F.col("body").alias("content"), F.lit("t").alias("created_at"))
+    raw = t.items.select("id", F.concat(F.lit("https://m/"), "id").alias("url"), F.col("body").alias("content"), F.lit("t").alias("created_at"))
     return feeds.mastodon_records(raw, to_text=F.trim).select("id", "title", "source_id")
 
 
@@ -390,9 +439,14 @@ def watchlist(t):
     return feeds.watchlist(raw, "name", "at").select("channel")
 
 
-@query("SRC-17")
+LINE = "replace(replace(replace(title, '<', ' '), '>', ' '), '&', 'and')"
+CHANNEL = f"""'<html><div class="m" data-post="ch/' || id || '"><a href="https://x/' || id || '">@</a><video src="https://v/' || id || '.mp4"></video><time datetime="t0"></time><p>' || {LINE} || '</p><time datetime="2024-01-0' || (id % 9 + 1) || '"></time></div></html>'"""
+
+
+@query("SRC-17", f"SELECT id, 'ch/' || id AS post, '2024-01-0' || (id % 9 + 1) AS time, rtrim('@' || {LINE}) AS text, 'https://v/' || id || '.mp4|https://x/' || id AS media FROM items")
 def channel_pages(t):
-    return feeds.channel_posts(t.table("pages")).select("page_id", "post", "time", "text")
+    pages = t.items.select("id", F.expr(CHANNEL).alias("html"))
+    return feeds.channel_posts(pages).select("id", "post", "time", "text", F.array_join("media", "|").alias("media"))
 
 
 @query("SRC-18", "SELECT id, 'ch/' || id AS source_id, 'https://m/' || id AS media, CASE WHEN length(body) > 100 THEN substring(body, 1, 100) || '...' ELSE body END AS title FROM items")
@@ -437,9 +491,9 @@ def required_fields(t):
     return dead.select(F.get_json_object("value", "$.source_id").alias("source_id"))
 
 
-@query("CLU-01", f"SELECT cluster_id, row_number() OVER (ORDER BY last_seen_at DESC, cluster_id) AS pos FROM clusters WHERE last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 400 HOUR")
+@query("CLU-01", f"SELECT cluster_id, row_number() OVER (ORDER BY last_seen_at DESC, cluster_id) AS pos FROM clusters WHERE last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR")
 def index_refresh(t):
-    return similarity.index_of(t.clusters, t.as_of, 400).select("cluster_id", "pos")
+    return similarity.index_of(t.clusters, t.as_of).select("cluster_id", "pos")
 
 
 @query("CLU-02", "SELECT c.cluster_id, coalesce(nullif(CASE WHEN c.location_name LIKE '%1' THEN '' ELSE c.title END, ''), n.body) AS rep FROM clusters c LEFT JOIN (SELECT cluster_id, arg_max(body, coalesce(published_at, ts)::VARCHAR || lpad((1000000000 - id)::VARCHAR, 12, '0')) AS body FROM assigned WHERE cluster_id IS NOT NULL GROUP BY 1) n USING (cluster_id)")
@@ -449,13 +503,72 @@ def representative(t):
     return t.clusters.join(newest, "cluster_id", "left").select("cluster_id", F.coalesce(F.nullif(title, F.lit("")), F.col("body")).alias("rep"))
 
 
+def waiting(t):
+    named = F.col("item_text").alias("text"), F.coalesce("published_at", "ts").alias("created_at")
+    return t.assigned.filter("cluster_id IS NULL").select("id", "source", "source_id", *named, "collected_at")
+
+
+@query("CLU-03")
+def founders(t):
+    """Clusters founded by the items of a batch that no entry takes, older or of the batch."""
+    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of), lexical=False)
+    return given.filter("founder").select("id", "cluster_id")
+
+
 @query("CLU-04")
 def leader_clustering(t):
-    """Leaders and followers over shared URLs, dates and keywords."""
-    own = features.signature(t.items, "id", "item_text").filter("label IN ('URL', 'TW', 'PERCENT')")
-    pairs = own.alias("a").join(own.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
-    accepts = pairs.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later")).distinct()
-    return cluster.leaders(t.items, accepts)
+    """Every item of the batch with its cluster, as if taken one by one."""
+    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of), lexical=False)
+    return given.select("id", "cluster_id", "founder", F.round("score", 6).alias("score"), "reason")
+
+
+@query("STM-03")
+def clustering_cycle(t):
+    """One cycle: cluster, clean up, recount."""
+    _, clusters, _ = clustering.cycle(t.assigned, t.clusters, t.as_of, lexical=False)
+    return clusters.select("cluster_id", "item_count", "location_name", times.epoch_seconds(F.col("last_seen_at")).alias("last_seen"))
+
+
+CAPITALS = r"[A-Z][a-z]{3,}"
+
+
+def capitalised(c):
+    """Capitalised words as organisations: entities without a model."""
+    return F.transform(text.find_all(c, CAPITALS), lambda w: F.struct(F.lit("ORG").alias("label"), w.alias("text")))
+
+
+@query("SIM-05")
+def fuzzy_overlap(t):
+    """Pairs whose key entities are alike, equal or not."""
+    fa = features.signature_arrays(t.items, "id", "item_text", capitalised)
+    fb = features.signature_arrays(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text", capitalised)
+    return similarity.compared(near_pairs(t), fa, fb).filter("keys.alike").select("id", "pos", "shared_key")
+
+
+@query("SIM-06")
+def fuzzy_boost(t):
+    """Signature scores with the boost of alike keys."""
+    fa = features.signature_arrays(t.items, "id", "item_text", capitalised)
+    fb = features.signature_arrays(entries(t).select(F.col("pos").alias("id"), "text"), "id", "text", capitalised)
+    return similarity.compared(near_pairs(t), fa, fb).select("id", "pos", F.round(similarity.boosted(RULES), 6).alias("sig"))
+
+
+@query("SIM-10")
+def script_guard(t):
+    """Matches with the script guard on."""
+    foreign = F.concat(F.lit("Текст на другом языке про события дня и города снова и снова "), F.repeat(F.lit("слово "), 60), F.col("item_text"))
+    items = t.items.select("id", F.when(F.col("id") % 3 == 0, foreign).otherwise(F.col("item_text")).alias("text"), F.col("ts").alias("created_at"))
+    found = similarity.semantic_matches(items, entries(t), similarity.Rules(script_guard=True))
+    return found.select("id", "pos", F.round("score", 6).alias("score"))
+
+
+@query("GEO-11", f"SELECT i.id, CASE WHEN i.lat IS NULL THEN p.name ELSE i.location_name END AS location_name, round(coalesce(i.lat, p.lat), 6) AS lat FROM items i JOIN {RESOLVED} r ON r.q = i.location_name JOIN places p USING (geoname_id)")
+def enrichment(t):
+    """Records without a place get that of their first mention that resolves."""
+    entity = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("text"))
+    found = F.array(entity("ORG", F.lit("Company")), entity("LOC", F.lit("town")), entity("GPE", F.concat(F.lit("Nowhere "), "id")), entity("GPE", F.col("place")))
+    records = t.items.select("id", "title", F.col("body").alias("text"), "lat", "lon", F.when(F.col("lat").isNotNull(), F.col("location_name")).alias("location_name"), F.col("location_name").alias("place"))
+    return geocode.enriched(records, found, index(t), t.places, ["id"]).select("id", "location_name", F.round("lat", 6).alias("lat"))
 
 
 @query("CLU-06", "SELECT id FROM assigned WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE location_name IS NOT NULL)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 
 AS_OF = "2024-01-04 00:30:00"
+FOUNDED_BY = ["location_name", "source", "event_type"]
 PAIRS = {"signup": "protest", "error": "blackout", "click": "sanctions", "view": "footage", "purchase": "killed"}
 
 
@@ -31,9 +32,10 @@ class Tables:
         d, e, n = self.table("documents"), self.table("events"), self.table("nation")
         keyword = F.create_map(*[F.lit(x) for kv in PAIRS.items() for x in kv])
         i = F.col("doc_id")
-        ts = F.col("ts").cast("timestamp_ntz")
+        # days apart, so that look-backs and expiry part them
+        ts = F.col("ts").cast("timestamp_ntz") - F.make_dt_interval((i % 40).cast("int"))
         located = i % 5 != 0
-        title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100)
+        title = F.split_part("text", F.lit("\n"), F.lit(1))
         day = F.date_format(ts, "yyyy-MM-dd")
         joined = d.join(e, d.doc_id == e.event_id).join(F.broadcast(n), n.n_nationkey == i % 25)  # nation has 25 rows
         return joined.select(
@@ -43,15 +45,15 @@ class Tables:
             times.epoch_seconds(ts).alias("collected_at"),
             F.when(i % 17 != 0, ts - F.make_dt_interval(F.lit(0), (i % 48).cast("int"))).alias("published_at"),
             title.alias("title"),
-            F.substring("text", 1, 400).alias("body"),
+            F.col("text").alias("body"),
             F.when(located, (i * 37 % 18_000) / 100.0 - 90).cast("double").alias("lat"),
             F.when(located, (i * 91 % 36_000) / 100.0 - 180).cast("double").alias("lon"),
             F.col("n_name").alias("location_name"),
             F.concat(
-                title, F.lit(" https://"), d.source, F.lit(".example.com/a"), i, F.lit(" on "), day, F.lit(" up "), i % 100, F.lit("% in "),
+                F.col("text"), F.lit(" https://"), d.source, F.lit(".example.com/a"), i, F.lit(" on "), day, F.lit(" up "), i % 100, F.lit("% in "),
                 i % 9 + 1, F.lit(" days "), keyword[F.col("event_type")], F.lit(" 18,000"),
             ).alias("item_text"),
-            ts.alias("ts"),
+            ts.alias("ts"), "event_type",
         )
 
     @cached_property
@@ -73,14 +75,18 @@ class Tables:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return self.items.filter("id % 48 = 1").select(
-            F.concat(F.lit("c-"), "id").alias("cluster_id"), F.substring("item_text", 1, 200).alias("title"), "lat", "lon", "location_name",
-            F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_seen_at"),
+        """One for each place, source and kind of event, founded by its first item; the title is cut as the rule of founding says."""
+        first = F.min_by(F.struct("item_text", "lat", "lon", "ts"), F.col("id"))
+        return self.items.groupBy(*FOUNDED_BY).agg(F.min("id").alias("id"), first.alias("f")).select(
+            F.concat(F.lit("c-"), "id").alias("cluster_id"), F.substring("f.item_text", 1, 200).alias("title"), "f.lat", "f.lon", "location_name",
+            F.col("f.ts").alias("first_seen_at"), F.col("f.ts").alias("last_seen_at"),
         )
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return self.items.withColumn("cluster_id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("c-"), F.col("id") - F.col("id") % 48 + 1)))
+        founders = self.items.groupBy(*FOUNDED_BY).agg(F.min("id").alias("founder"))
+        joined = self.items.join(founders, FOUNDED_BY).select(*self.items.columns, "founder")
+        return joined.withColumn("cluster_id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("c-"), "founder"))).drop("founder")
 
     @cached_property
     def places(self) -> DataFrame:
@@ -124,15 +130,15 @@ class Tables:
 #: The same tables for DuckDB; a query's SQL follows ``WITH`` and these.
 SQL = f"""
 items AS (SELECT d.doc_id AS id, CASE d.doc_id % 4 WHEN 0 THEN 'gdelt' WHEN 1 THEN 'telegram' WHEN 2 THEN 'mastodon' ELSE 'rss' END AS source,
-  'id-' || d.doc_id AS source_id, CAST(floor(epoch(e.ts)) AS BIGINT) AS collected_at,
-  CASE WHEN d.doc_id % 17 <> 0 THEN e.ts - to_hours(CAST(d.doc_id % 48 AS INTEGER)) END AS published_at,
-  substring(split_part(d.text, chr(10), 1), 1, 100) AS title, substring(d.text, 1, 400) AS body,
+  'id-' || d.doc_id AS source_id, CAST(floor(epoch(e.ts - to_days(CAST(d.doc_id % 40 AS INTEGER)))) AS BIGINT) AS collected_at,
+  CASE WHEN d.doc_id % 17 <> 0 THEN e.ts - to_days(CAST(d.doc_id % 40 AS INTEGER)) - to_hours(CAST(d.doc_id % 48 AS INTEGER)) END AS published_at,
+  split_part(d.text, chr(10), 1) AS title, d.text AS body,
   CASE WHEN d.doc_id % 5 <> 0 THEN CAST(d.doc_id * 37 % 18000 AS DOUBLE) / 100 - 90 END AS lat,
   CASE WHEN d.doc_id % 5 <> 0 THEN CAST(d.doc_id * 91 % 36000 AS DOUBLE) / 100 - 180 END AS lon,
   n.n_name AS location_name,
-  substring(split_part(d.text, chr(10), 1), 1, 100) || ' https://' || d.source || '.example.com/a' || d.doc_id || ' on ' || strftime(e.ts, '%Y-%m-%d')
+  d.text || ' https://' || d.source || '.example.com/a' || d.doc_id || ' on ' || strftime(e.ts - to_days(CAST(d.doc_id % 40 AS INTEGER)), '%Y-%m-%d')
     || ' up ' || (d.doc_id % 100) || '% in ' || (d.doc_id % 9 + 1) || ' days ' || CASE e.event_type WHEN 'signup' THEN 'protest' WHEN 'error' THEN 'blackout'
-    WHEN 'click' THEN 'sanctions' WHEN 'view' THEN 'footage' WHEN 'purchase' THEN 'killed' END || ' 18,000' AS item_text, e.ts AS ts
+    WHEN 'click' THEN 'sanctions' WHEN 'view' THEN 'footage' WHEN 'purchase' THEN 'killed' END || ' 18,000' AS item_text, e.ts - to_days(CAST(d.doc_id % 40 AS INTEGER)) AS ts, e.event_type
   FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN nation n ON n.n_nationkey = d.doc_id % 25),
 raw_records AS (SELECT *, id AS arrival FROM items UNION ALL
   SELECT * REPLACE ('again ' || title AS title), id + 1000000 FROM items WHERE id % 10 = 0 UNION ALL
@@ -140,8 +146,8 @@ raw_records AS (SELECT *, id AS arrival FROM items UNION ALL
     id + 2000000 FROM items WHERE id % 23 = 0 OR id % 29 = 0),
 existing_items AS (SELECT * FROM items WHERE id % 3 = 0),
 clusters AS (SELECT 'c-' || id AS cluster_id, substring(item_text, 1, 200) AS title, lat, lon, location_name, ts AS first_seen_at, ts AS last_seen_at
-  FROM items WHERE id % 48 = 1),
-assigned AS (SELECT *, CASE WHEN id % 7 <> 0 THEN 'c-' || (id - id % 48 + 1) END AS cluster_id FROM items),
+  FROM items WHERE id IN (SELECT min(id) FROM items GROUP BY location_name, source, event_type)),
+assigned AS (SELECT *, CASE WHEN id % 7 <> 0 THEN 'c-' || min(id) OVER (PARTITION BY location_name, source, event_type) END AS cluster_id FROM items),
 places0 AS (SELECT CAST(c_custkey AS BIGINT) AS geoname_id, c_name AS name, n_name AS country, 'P' AS feature_class, 'PPL' AS feature_code,
   CAST(greatest(0, floor(c_acctbal * 100)) AS BIGINT) AS population FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
   SELECT 1000000 + n_nationkey, n_name, n_name, 'A', 'PCLI', 1000000 * (n_nationkey + 1) FROM nation UNION ALL

@@ -82,12 +82,13 @@ SEMANTIC = f"""WITH w AS ({WORD_ROWS}), k AS (SELECT id, w, {FAMILY} AS f FROM w
 
 @query("STR-11", SEMANTIC)
 def semantic(t):
-    return t.items.select("id", joined(text.semantic_tokens(F.col("item_text"))).alias("tokens"))
+    named = text.with_words(t.items.select("id", "item_text"), "item_text")
+    return named.select("id", joined(text.semantic_tokens(F.col("words"), F.col("hits"))).alias("tokens"))
 
 
 @query("AGG-17", DOMINANT)
 def dominant(t):
-    return t.items.select("id", text.dominant_family(F.col("item_text")).alias("family")).filter("family IS NOT NULL")
+    return text.with_words(t.items.select("id", "item_text"), "item_text").select("id", text.dominant_family(F.col("hits")).alias("family")).filter("family IS NOT NULL")
 
 
 @query("STR-12", f"SELECT id, {WORDS.format(NOISE.format('lower(body)'))} AS cleaned FROM items")
@@ -95,8 +96,16 @@ def ngram_text(t):
     return t.items.select("id", text.ngram_text(F.col("body")).alias("cleaned"))
 
 
-GRAM_ROWS = f"""SELECT id, substring(p, i, n) AS gram FROM (SELECT id, ' ' || c || ' ' AS p FROM (SELECT id, {WORDS.format(NOISE.format('lower(title)'))} AS c FROM items) WHERE c <> ''),
-  (SELECT unnest([3, 4, 5]) AS n), (SELECT unnest(range(1, 200)) AS i) WHERE i <= length(p) - n + 1"""
+def gram_sql(table: str, column: str) -> str:
+    """Every n-gram of whole cleaned texts; texts are cut into characters once."""
+    cleaned = WORDS.format(NOISE.format(f"lower({column})"))
+    rows = f"(SELECT id, string_split(' ' || c || ' ', '') AS p FROM (SELECT id, {cleaned} AS c FROM {table}) WHERE c <> '')"
+    return " UNION ALL ".join(
+        f"SELECT id, unnest(list_transform(range(1, len(p) - {n - 2}), lambda i: {' || '.join(f'p[i + {k}]' for k in range(n))})) AS gram FROM {rows}" for n in (3, 4, 5)
+    )
+
+
+GRAM_ROWS = gram_sql("items", "body")
 
 
 @query("STR-13", f"SELECT id, gram, count(*) AS n FROM ({GRAM_ROWS}) GROUP BY 1, 2")
@@ -105,10 +114,14 @@ def grams(t):
 
 
 def gram_rows(t):
-    return t.items.select("id", F.explode(text.char_ngrams(text.ngram_text(F.col("title")))).alias("gram"))
+    return text.ngram_rows(t.items, "id", "body")
+
+
+def bucket_sql(rows: str) -> str:
+    return f"SELECT id, CAST('0x' || substring(md5(gram), 1, 4) AS INTEGER) AS bucket, count(*) AS n FROM ({rows}) GROUP BY 1, 2"
 
 
-BUCKETS = f"SELECT id, CAST('0x' || substring(md5(gram), 1, 4) AS INTEGER) AS bucket, count(*) AS n FROM ({GRAM_ROWS}) GROUP BY 1, 2"
+BUCKETS = bucket_sql(GRAM_ROWS)
 
 
 @query("AGG-16", BUCKETS)
