@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -189,13 +188,13 @@ def fit(
             )
 
     rows = sample.select(F.col("_id").cast("long"), "text", F.col("toxic").cast("int")).filter("text IS NOT NULL")
-    got = rows.mapInArrow(word_sets, "id long, words array<string>, toxic int").collect()
-    got.sort(key=lambda r: r["id"])
-    labels_of = [r["toxic"] for r in got]
-    # one string for all places of a word, and each row let go once it is read
-    got.reverse()
-    docs_of = [set(map(sys.intern, got.pop()["words"])) for _ in labels_of]
-    return train(docs_of, labels_of, **how)
+    got = rows.mapInArrow(word_sets, "id long, words array<string>, toxic int").toArrow().sort_by("id")
+    # one string for all places of a word
+    listed = got["words"].combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    names, code, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))
+    docs_of = [{names[i] for i in code[a:b].tolist()} for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    return train(docs_of, got["toxic"].to_pylist(), **how)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
