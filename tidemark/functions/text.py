@@ -113,12 +113,13 @@ def family_of(word: Column) -> Column:
 
 
 def with_words(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``words``, the content words of a text column, and ``hits``, the families of those that have one.
+    """``df`` with ``words``, the content words of a text column with their families, and ``hits``, the families found.
 
     They are columns of their own, so that what uses them many times reads them.
     """
     named = df.withColumn("words", content_words(plain_words(strip_noise(F.lower(F.coalesce(F.col(column), F.lit("")))))))
-    return named.withColumn("hits", F.filter(F.transform("words", family_of), lambda f: f.isNotNull()))
+    named = named.withColumn("words", F.transform("words", lambda w: F.struct(w.alias("word"), family_of(w).alias("family"))))
+    return named.withColumn("hits", F.transform(F.filter("words", lambda w: w["family"].isNotNull()), lambda w: w["family"]))
 
 
 def dominant_family(hits: Column) -> Column:
@@ -137,7 +138,7 @@ def semantic_tokens(words: Column, hits: Column) -> Column:
     """``family:word`` for keywords, words with digits or ``%`` or of six characters, and ``primary_family``."""
     tokens = F.transform(
         F.array_distinct(words),
-        lambda w: F.when(family_of(w).isNotNull(), F.concat(family_of(w), F.lit(":"), w)).when(w.rlike("[0-9%]") | (F.length(w) >= 6), w),
+        lambda w: F.when(w["family"].isNotNull(), F.concat(w["family"], F.lit(":"), w["word"])).when(w["word"].rlike("[0-9%]") | (F.length(w["word"]) >= 6), w["word"]),
     )
     primary = F.array(F.concat(F.lit("primary_"), dominant_family(hits)))
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(tokens, primary))))
@@ -148,29 +149,6 @@ def ngram_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip_noise(F.lower(c)), PUNCTUATION, " "), r"\s+", " "))
 
 
-def ngram_rows(df: DataFrame, id_col: str, text_col: str, shortest: int = 3, longest: int = 5) -> DataFrame:
-    """``(id, gram)``: all character n-grams of cleaned texts between boundary spaces; none of an empty text.
-
-    Texts are dealt by id before they grow into grams, so counting a text's
-    grams shuffles nothing more. Cleaned texts are cut into characters once.
-    """
-    cleaned = df.select(F.col(id_col).alias("id"), ngram_text(F.coalesce(F.col(text_col), F.lit(""))).alias("cleaned")).filter("cleaned <> ''")
-    chars = cleaned.repartition("id").select("id", F.split(F.concat(F.lit(" "), "cleaned", F.lit(" ")), "", -1).alias("chars"))
-
-    def of_length(n: int) -> Column:
-        last = F.size("chars") - n
-        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get("chars", i + k) for k in range(n)]))
-        return F.when(last >= 0, cut).otherwise(F.array().cast("array<string>"))
-
-    grams = F.filter(F.concat(*map(of_length, range(shortest, longest + 1))), lambda g: g.isNotNull())
-    return chars.filter("size(chars) > 0").select("id", F.explode(grams).alias("gram"))
-
-
-def bucket(gram: Column) -> Column:
-    """One of 65,536 buckets: the first four hex digits of the gram's MD5."""
-    return F.conv(F.substring(F.md5(gram.cast("binary")), 1, 4), 16, 10).cast("int")
-
-
 def ellipsis(c: Column, longest: int) -> Column:
     return F.when(F.length(c) > longest, F.concat(F.left(c, F.lit(longest)), F.lit("..."))).otherwise(c)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import text
 
 # Weights of feature labels; others weigh 1.
 WEIGHTS = {
@@ -45,7 +45,10 @@ def signature_arrays(df: DataFrame, id_col: str, text_col: str, entities: Entity
 
     Entity values of two characters or fewer do not count.
     """
-    named = text.with_words(df.select(F.col(id_col).alias("id"), text.strip_retweet(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "t")
+    # dealt over all cores: texts are small beside the work on them
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition(parts, "id")
+    named = text.with_words(dealt.select("id", text.strip_retweet(F.coalesce("t", F.lit(""))).alias("t")), "t")
     t = F.col("t")
     found = {
         "URL": F.transform(text.find_all(t, text.URL), F.lower), "DOMAIN": F.transform(text.find_all(t, text.DOMAIN), F.lower), "NUM": text.numbers(t),
@@ -65,21 +68,16 @@ def signature_arrays(df: DataFrame, id_col: str, text_col: str, entities: Entity
 
 def signature(df: DataFrame, id_col: str, text_col: str, entities: EntityExtractor | None = None) -> DataFrame:
     """``(id, label, value)``, each once for each row of ``df``."""
-    return signature_arrays(df, id_col, text_col, entities).select("id", F.explode("features").alias("f")).select("id", "f.label", "f.value")
+    return feature_rows(signature_arrays(df, id_col, text_col, entities))
 
 
-def ngram_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, bucket, w)``: log-scaled counts of hashed character n-grams."""
-    rows = text.ngram_rows(df, id_col, text_col)
-    return rows.groupBy("id", text.bucket(F.col("gram")).alias("bucket")).agg(geo.log_count(F.count("*")).alias("w"))
+def feature_rows(arrays: DataFrame) -> DataFrame:
+    """``(id, label, value)`` of signature arrays.
 
-
-def unit_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, buckets, ws)``: a text's n-gram vector of length 1, its buckets in order."""
-    packed = ngram_vectors(df, id_col, text_col).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    return packed.select("id", F.col("v.bucket").alias("buckets"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("ws"))
+    Not ``explode``: Spark would ask first whether the array is empty, and for
+    that compute the whole signature once more for each use of its parts.
+    """
+    return arrays.select("id", F.explode_outer("features").alias("f")).filter("f IS NOT NULL").select("id", "f.label", "f.value")
 
 
 def is_event(semantic_value: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, geo, text, times
+from ..functions import fuzzy, geo, ngrams, text, times
 from . import features
 
 
@@ -56,10 +56,12 @@ def candidates(items: DataFrame, entries: DataFrame, item_features: DataFrame, e
     many have them.
     """
     lists = entry_features.groupBy("label", "value").agg(F.collect_set(F.col("id")).alias("entries"))
-    shared = item_features.join(F.broadcast(lists), ["label", "value"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("entries"))).alias("entries"))
-    pairs = shared.select("id", F.explode(F.slice(F.array_sort("entries"), 1, most)).alias("pos"))
+    # features lie by item, so pairs are made distinct and cut where they are
+    shared = item_features.join(F.broadcast(lists), ["label", "value"]).select("id", F.explode("entries").alias("pos")).distinct()
+    place = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
+    pairs = shared.withColumn("place", place).filter(F.col("place") <= most).drop("place")
     # items without any shared feature see the whole index
-    lonely = items.select("id").join(shared.select("id"), "id", "left_anti")
+    lonely = items.select("id").join(pairs.select("id").distinct(), "id", "left_anti")
     index = checked(entries).agg(F.array_sort(F.collect_list("pos")).alias("entries"))
     everything = lonely.join(F.broadcast(index)).select("id", F.explode("entries").alias("pos"))  # one row, see MAX_ENTRIES
     return pairs.unionByName(everything)
@@ -158,8 +160,8 @@ def semantic_matches(
     rep = entries.select(F.col("pos").alias("id"), F.col("text"))
     fa, fb = features.signature_arrays(items, "id", "text", entities), features.signature_arrays(rep, "id", "text", entities)
     if pairs is None:
-        pairs = candidates(items, entries, _rows(fa), _rows(fb), rules.max_candidates)
-    near = cosines(features.unit_vectors(items, "id", "text"), features.unit_vectors(rep, "id", "text"), rules.min_ngram).join(pairs, ["id", "pos"], "left_semi")
+        pairs = candidates(items, entries, features.feature_rows(fa), features.feature_rows(fb), rules.max_candidates)
+    near = cosines(ngrams.unit_vectors(items, "id", "text"), ngrams.unit_vectors(rep, "id", "text"), rules.min_ngram).join(pairs, ["id", "pos"], "left_semi")
     timed = near.join(items.select("id", "created_at"), "id").join(F.broadcast(entries.select("pos", "last_seen_at")), "pos")
     timed = timed.filter(~too_old(F.col("created_at"), F.col("last_seen_at"), rules.max_age_days))
     if rules.script_guard:
@@ -173,10 +175,6 @@ def semantic_matches(
     return judged.withColumn("score", final_score(rules, F.col("created_at"), F.col("last_seen_at"))).filter(F.col("score") >= rules.min_final).select("id", "pos", "score")
 
 
-def _rows(arrays: DataFrame) -> DataFrame:
-    return arrays.select("id", F.explode("features").alias("f")).select("id", "f.label", "f.value")
-
-
 def lexical_matches(items: DataFrame, entries: DataFrame, pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones by stretches."""
     a = items.select("id", text.canonical(F.col("text")).alias("ca")).filter("ca <> ''")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, text, times
+from ..functions import fuzzy, ngrams, text, times
 from ..operators import clustering, features, gazetteer, geocode, ingest, live, similarity
 from ..sources import feeds
 from .fixtures import AS_OF
@@ -240,8 +240,8 @@ COSINE = f"""(WITH v AS {vector_sql('items')}, e AS {vector_sql(INDEX)}, nv AS (
 
 def near_pairs(t):
     """Items and entries whose n-gram cosine passes the gate."""
-    own = features.unit_vectors(t.items, "id", "item_text")
-    return similarity.cosines(own, features.unit_vectors(entries(t), "pos", "text"), RULES.min_ngram)
+    own = ngrams.unit_vectors(t.items, "id", "item_text")
+    return similarity.cosines(own, ngrams.unit_vectors(entries(t), "pos", "text"), RULES.min_ngram)
 
 
 @query("MATH-05", f"SELECT id, pos, round(ng, 6) AS ng FROM {COSINE}")

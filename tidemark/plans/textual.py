@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, payload, text, times
+from ..functions import geo, ngrams, payload, text, times
 from ..functions.text import KEYWORDS, STOPWORDS
 from ..operators import serve
 from .fixtures import AS_OF
@@ -110,11 +110,7 @@ GRAM_ROWS = gram_sql("items", "body")
 
 @query("STR-13", f"SELECT id, gram, count(*) AS n FROM ({GRAM_ROWS}) GROUP BY 1, 2")
 def grams(t):
-    return gram_rows(t).groupBy("id", "gram").agg(F.count("*").alias("n"))
-
-
-def gram_rows(t):
-    return text.ngram_rows(t.items, "id", "body")
+    return ngrams.gram_counts(t.items, "id", "body")
 
 
 def bucket_sql(rows: str) -> str:
@@ -126,7 +122,7 @@ BUCKETS = bucket_sql(GRAM_ROWS)
 
 @query("AGG-16", BUCKETS)
 def gram_counts(t):
-    return gram_rows(t).groupBy("id", text.bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("n"))
+    return ngrams.bucket_counts(t.items, "id", "body")
 
 
 @query("MATH-04", f"SELECT id, bucket, round(1 + ln(1 + n), 6) AS w FROM ({BUCKETS})")
