@@ -223,8 +223,8 @@ def fit(
             out = []
             for text in batch.column(1).to_pylist():
                 w = text.lower().split(" ")
-                step = max(1, len(w) // words_per_document)
-                out.append([b" " + x.encode() for x in w[::step][:words_per_document] if x])
+                places = np.linspace(0, len(w) - 1, min(len(w), words_per_document)).astype(int)
+                out.append([b" " + w[i].encode() for i in places if w[i]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), batch.column(2)], names=["id", "words", "lang"])
 
     # the ids are bounded by the languages, so every task may have them all
