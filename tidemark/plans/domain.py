@@ -184,7 +184,11 @@ def event_like(t):
 
 
 def entries(t):
-    return similarity.index_of(t.clusters, t.as_of)
+    """The index, read once: at most 5,000 rows of 200 characters."""
+    if t.index is None:
+        found = similarity.index_of(t.clusters, t.as_of)
+        t.index = t.spark.createDataFrame(found.collect(), found.schema)
+    return t.index
 
 
 def entry_features(t):
