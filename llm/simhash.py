@@ -17,8 +17,10 @@ from .common import materialize, shuffle_partitions, utf8, with_found
 from .components import connected_components
 
 #: Variants of one bucket that are compared with each other; larger buckets
-#: are cut again by exact pieces of the other bits.
+#: are cut by pieces of the bits they leave free.
 BUCKET = 1024
+#: Fingerprints of a chunk; two chunks of what is still larger meet in a task.
+CHUNK = 8192
 
 
 def _fingerprint(body: bytes, words: int) -> int:
@@ -106,72 +108,100 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _compare(variants: DataFrame, max_bits: int, oversize: bool) -> DataFrame:
-    """Spanning links of each bucket; ``(key, fp, null)`` rows of buckets over BUCKET if ``oversize``."""
-    parts = shuffle_partitions(variants.sparkSession)
+def _narrower(mask: int, max_bits: int) -> list[int]:
+    """Masks that fix one more of ``max_bits + 1`` pieces of the bits that ``mask`` leaves free."""
+    free = [bit for bit in range(64) if not mask >> bit & 1]
+    cuts = [round(len(free) * i / (max_bits + 1)) for i in range(max_bits + 2)]
+    return [mask | sum(1 << bit for bit in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _spanning(k: np.ndarray, f: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of each run of equal ``k``."""
+    a, b = _links_in_runs(k, f, max_bits)
+    used, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = used[_roots(inverse[: len(a)], inverse[len(a) :], len(used))] if len(a) else used
+    away = root != used
+    return f[used[away]], f[root[away]]
+
+
+def _compare(buckets: DataFrame, max_bits: int, most: int | None) -> DataFrame:
+    """Spanning links ``(a, b, false)`` of each bucket of ``buckets(key, mask, fp)``, whose rows are distinct.
+
+    The rows of a bucket over ``most`` are given once for each narrower mask
+    instead, as ``(mask, fp, true)``, while they stream by: a task holds no
+    more than ``most`` rows of a bucket besides one batch.
+    """
+    parts = shuffle_partitions(buckets.sparkSession)
+
+    def batch_of(a, b, large):
+        columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), large))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "large"])
 
     def run(batches):
-        rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def work(k, f):
-            order = np.lexsort((f, k))
-            k, f = k[order], f[order]
-            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1]))) if len(k) else np.empty(0, bool)
-            k, f = k[fresh], f[fresh]
-            _, start, size = np.unique(k, return_index=True, return_counts=True)
-            large = np.repeat(size > BUCKET, size) if oversize else np.zeros(len(k), bool)
-            if large.any():
-                yield k[large], f[large].view(np.int64), np.full(int(large.sum()), True)
-                k, f = k[~large], f[~large]
-            a, b = _links_in_runs(k, f, max_bits)
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
+        splitting: set[tuple[int, int]] = set()  # (key, mask) of open buckets over ``most``
+
+        def work(k, m, f, last):
+            nonlocal held, splitting
+            order = np.lexsort((m, k))
+            k, m, f = k[order], m[order], f[order]
+            starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+            ends = np.append(starts[1:], len(k))
+            large = ends - starts > most if most is not None else np.zeros(len(starts), bool)
+            for key, mask in splitting:
+                large |= (k[starts] == key) & (m[starts] == mask)
+            small = np.ones(len(k), bool)
+            for lo, hi in zip(starts[large].tolist(), ends[large].tolist()):
+                for narrow in _narrower(int(m[lo]), max_bits):
+                    yield batch_of(np.full(hi - lo, narrow, np.uint64), f[lo:hi], True)
+                small[lo:hi] = False
+            splitting = {(int(k[i]), int(m[i])) for i in starts[large] if k[i] == k[-1]}
+            open_at = len(k) if last else int(np.searchsorted(k, k[-1]))  # buckets of the last key may go on
+            done = small & (np.arange(len(k)) < open_at)
+            a, b = _spanning(np.repeat(np.arange(len(starts)), ends - starts)[done], f[done], max_bits)
             if len(a):
-                used, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
-                root = used[_roots(inverse[: len(a)], inverse[len(a) :], len(used))]
-                away = root != used
-                yield f[used[away]].view(np.int64), f[root[away]].view(np.int64), np.full(int(away.sum()), False)
-
-        def batch_of(x, y, large):
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(large)], names=["a", "b", "large"])
+                yield batch_of(a, b, False)
+            rest = small & ~done
+            held = [k[rest], m[rest], f[rest]]
 
         for batch in batches:
-            k = np.concatenate((rest_k, batch.column(0).to_numpy()))
-            f = np.concatenate((rest_f, batch.column(1).to_numpy().view(np.uint64)))
-            whole = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
-            for out in work(k[:whole], f[:whole]):
-                yield batch_of(*out)
-            rest_k, rest_f = k[whole:], f[whole:]
-        if len(rest_k):
-            for out in work(rest_k, rest_f):
-                yield batch_of(*out)
+            new = [batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))]
+            yield from work(*(np.concatenate(both) for both in zip(held, new)), False)
+        if len(held[0]):
+            yield from work(*held, True)
+
+    return buckets.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, large boolean")
+
 
-    return variants.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, large boolean")
+def _blocks(buckets: DataFrame, chunk: int) -> DataFrame:
+    """``(key, mask, fp)`` of the same buckets, those over ``chunk`` rows cut into chunks that meet pairwise."""
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("rows"))
+    sized = with_found(buckets, materialize(sizes, "simhash-sizes"), ["key"], "rows")
+    own = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("chunks")).cast("int")
+    met = sized.select("key", "mask", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "mask", "fp")
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """Links ``(a, b)`` between the distinct fingerprints of ``distinct(fp)``.
 
     Enough links are returned to connect everything within ``max_bits`` of each
     other: each bucket gives a spanning forest, not all its pairs. A bucket over
-    BUCKET rows is cut by exact pieces of the bits outside its segment (of which
-    at least one is equal in any linked pair), and those meet once more.
+    ``most`` rows is cut once more by the ``max_bits + 1`` pieces of the bits
+    that its mask leaves free, of which one is equal in any linked pair. What
+    is over ``chunk`` rows then holds fingerprints that are alike; it is cut
+    into chunks that meet pairwise, so no task compares a whole one.
     """
-    fp = F.col("fp")
-    cuts = segments(max_bits)
-    variants = []
-    for lo, hi in cuts:
-        for bit in range(lo, hi):
-            mask = ((1 << hi) - (1 << lo)) ^ (1 << bit)
-            # the variant's number takes the wildcarded bits outside the segment
-            variants.append(F.xxhash64(F.lit(bit), fp.bitwiseAND(F.lit(_signed(mask)))))
-    indexed = distinct.select("fp", F.explode(F.array(*variants)).alias("key")).select("key", "fp")
-    first = materialize(_compare(indexed, max_bits, oversize=True), "simhash-links")
-    large = first.filter("large").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    pieces = max_bits + 1
-    width = [round(64 * i / pieces) for i in range(pieces + 1)]
-    finer = [F.xxhash64("key", F.lit(i), fp.bitwiseAND(F.lit(_signed((1 << hi) - (1 << lo))))) for i, (lo, hi) in enumerate(zip(width, width[1:]))]
-    again = large.select("fp", F.explode(F.array(*finer)).alias("key")).select("key", "fp")
-    second = _compare(again, max_bits, oversize=False)
-    return first.filter("not large").select("a", "b").union(second.select("a", "b")).distinct()
+    masks = [((1 << hi) - (1 << lo)) ^ (1 << bit) for lo, hi in segments(max_bits) for bit in range(lo, hi)]
+    key = F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")
+    variants = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    first = materialize(_compare(variants.select(key, "mask", "fp"), max_bits, most), "simhash-links")
+    links = first.filter("not large").select("a", "b")
+    large = first.filter("large").select(F.col("a").alias("mask"), F.col("b").alias("fp"))
+    if not large.isEmpty():
+        again = materialize(large.distinct().select(key, "mask", "fp"), "simhash-large")
+        links = links.union(_compare(_blocks(again, chunk), max_bits, None).select("a", "b"))
+    return links.distinct()
 
 
 def near_groups(

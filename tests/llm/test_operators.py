@@ -374,18 +374,20 @@ def test_near_groups(docs, odd):
             assert (int(r["fingerprint"], 16), r["component_id"]) == (prints[r["doc_id"]], group[r["doc_id"]])
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+@pytest.mark.parametrize("most, chunk, max_bits", [(8, 8, 4), (1, 50, 3), (1024, 1024, 4)])
+def test_large_buckets_lose_no_link(spark, most, chunk, max_bits):
     rng = random.Random(3)
     base = rng.getrandbits(64)
-    prints = [base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(200)]
-    df = spark.createDataFrame([(simhash._signed(p),) for p in set(prints)], "fp long")
-    labels = {r["node"]: r["label"] for r in components.connected_components(simhash.fingerprint_links(df)).collect()}
-    wanted = brute.components(dict(enumerate(set(prints))))
-    order = list(set(prints))
+    prints = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(200)}
+    prints |= {base ^ (x << 40) for x in range(64)}  # one segment alone differs
+    order = sorted(prints)
+    df = spark.createDataFrame([(simhash._signed(p),) for p in order], "fp long")
+    links = simhash.fingerprint_links(df, max_bits, most, chunk)
+    labels = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
+    wanted = brute.components(dict(enumerate(order)), max_bits)
     for i, a in enumerate(order):
         for j in range(i):
-            x, y = (labels.get(simhash._signed(p), p) for p in (a, order[j]))
+            x, y = (labels.get(simhash._signed(p), simhash._signed(p)) for p in (a, order[j]))
             assert (x == y) == (wanted[i] == wanted[j])
 
 
