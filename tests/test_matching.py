@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests import plain
 from tidemark.functions import fuzzy, text
-from tidemark.operators import clustering, similarity
+from tidemark.operators import clustering, lexical, similarity
 
 START = datetime(2024, 1, 10)
 TOPICS = {
@@ -82,7 +82,7 @@ def test_a_cycle_stores_expires_and_recounts(spark, sf_dir):
     from tidemark.plans.fixtures import Tables
 
     t = Tables(spark, sf_dir)
-    items, clusters, totals = clustering.cycle(t.assigned, t.clusters, t.as_of, lexical=False)
+    items, clusters, totals = clustering.cycle(t.assigned, t.clusters, t.as_of)
     before = t.assigned.filter("cluster_id IS NULL").count()
     told = totals.first()
     assert told["processed"] == before == told["clustered"] + told["new_clusters"]
@@ -135,3 +135,68 @@ def test_scripts():
 def test_page_texts_equal_plain_ones(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html", fuzzy.page_text("html").alias("t")).collect():
         assert r["t"] == plain.page_text(r["html"])
+
+
+def test_lexical_bounds_lose_no_pair():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randrange(1, 7)))
+    base = [sorted({word() for _ in range(rng.choice((1, 2, 5, 12, 40)))}) for _ in range(40)]
+
+    def varied(tokens):
+        s = " ".join(tokens[rng.randrange(max(1, len(tokens) // 8)) :])
+        for _ in range(rng.randrange(1 + len(s) // 12)):
+            at = rng.randrange(len(s) + 1)
+            s = s[:at] + rng.choice(["", "x", "a"]) + s[at + rng.randrange(2) :]
+        return " ".join(sorted({*s.split(), *(word() for _ in range(rng.choice((0, 0, 1, 30))))})) if rng.random() < 0.5 else s
+
+    entries = [" ".join(b)[:200].strip() for b in base] + ["", "ab", "a", "漢字 かな"]
+    items = [varied(b) for b in base for _ in range(3)] + [" ".join(x for b in base for x in b), "", "a", "ab", "漢字 かな です"]
+    for chunk in (16, 4096):
+        lexical.CHUNK, old = chunk, lexical.CHUNK
+        try:
+            index = lexical.Index(list(range(len(entries))), entries)
+            for item in items:
+                both = [(e, fuzzy.token_set_ratio(item, c, 85), fuzzy.partial_ratio(item, c, 88)) for e, c in enumerate(entries) if item and c]
+                wanted = [x for x in both if x[1] or x[2]]
+                got = index.matches(item, 85, 88)
+                assert [e for e, _, _ in got] == [e for e, _, _ in wanted]
+                assert all(abs(a - b) < 1e-9 for g, w in zip(got, wanted) for a, b in zip(g, w))
+        finally:
+            lexical.CHUNK = old
+
+
+def test_near_copies_equal_all_pairs(spark, sf_dir):
+    from tidemark.plans import QUERIES
+    from tidemark.plans.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    canon = lambda df, key: [(r[key], r["c"]) for r in df.select(key, text.canonical(F.col("text")).alias("c")).collect() if r["c"]]
+    items = canon(t.items.select("id", F.col("item_text").alias("text")), "id")
+    entries = canon(similarity.index_of(t.clusters, t.as_of), "pos")
+    wanted = {}
+    for i, a in items:
+        for e, b in entries:
+            s, p = fuzzy.token_set_ratio(a, b, 85), fuzzy.partial_ratio(a, b, 88)
+            if s or p:
+                wanted[i, e] = (round(s, 6), round(p, 6))
+    assert {(r["id"], r["pos"]): (r["token_set"], r["partial"]) for r in QUERIES["SIM-09"](spark, sf_dir).collect()} == wanted and wanted
+
+
+def test_clusters_of_the_test_tables_equal_one_by_one(spark, sf_dir):
+    from tidemark.plans import domain
+    from tidemark.plans.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    waiting, index = domain.waiting(t).cache(), similarity.index_of(t.clusters, t.as_of).cache()
+    order = {r["id"]: k + 1 for k, r in enumerate(waiting.orderBy(F.desc("collected_at"), "id").collect())}
+    turns = spark.createDataFrame(list(order.items()), "item long, turn long")
+    taken = waiting.join(turns, waiting.id == turns.item).select(F.col("turn").alias("id"), "text", "created_at")
+    own = taken.select(F.negate("id").alias("pos"), F.substring("text", 1, 200).alias("text"), F.col("created_at").alias("last_seen_at"))
+    rules = similarity.Rules(max_candidates=similarity.MAX_ENTRIES)
+    accepted = {}
+    for r in similarity.accepted(taken, index.select("pos", "text", "last_seen_at").unionByName(own), rules).collect():
+        accepted.setdefault((r["id"], r["pos"]), []).append((similarity.STAGES.index(r["reason"]), r["score"], r["reason"]))
+    wanted = plain.one_by_one(sorted(order.values()), [r["pos"] for r in index.orderBy("pos").collect()], accepted)
+    got = {order[r["id"]]: r["reason"] for r in clustering.assign_batch(waiting, index).collect()}
+    assert got == {i: reason for i, (_, reason) in wanted.items()}
+    assert sum(r != "new_cluster" for r in got.values()) >= 2  # links of the lexical stage

@@ -32,16 +32,18 @@ def located_stats(items: DataFrame) -> DataFrame:
     )
 
 
-def clusters_since(clusters: DataFrame, items: DataFrame, since: datetime | None = None, limit: int = 1000, location_key: str | None = None) -> DataFrame:
+def clusters_since(clusters: DataFrame, items: DataFrame, since: datetime | None = None, limit: int | None = 1000, location_key: str | None = None) -> DataFrame:
     """Newest clusters with their items as an array, newest first, rows without a time first.
 
-    The limit is taken before the join, so only the served clusters' items are gathered.
+    The limit is taken before the join, so only the served clusters' items are
+    gathered; None serves all. An array per cluster suits a page of clusters;
+    ``cluster_items`` has the same as rows.
     """
     if since is not None:
         clusters = clusters.filter(F.col("first_seen_at") >= F.lit(since).cast("timestamp_ntz"))
     if location_key is not None:
         clusters = clusters.filter(F.lower("location_name") == location_key)
-    top = clusters.orderBy(F.desc("first_seen_at"), "cluster_id").limit(limit)
+    top = clusters if limit is None else clusters.orderBy(F.desc("first_seen_at"), "cluster_id").limit(limit)
     item = F.struct(
         F.when(F.col("published_at").isNull(), 0).otherwise(1).alias("has_time"), F.negate(F.expr("unix_seconds(cast(published_at AS timestamp))")).alias("rank"),
         "id", "source", "source_id", "title", "published_at", "lat", "lon", "location_name",
@@ -50,6 +52,11 @@ def clusters_since(clusters: DataFrame, items: DataFrame, since: datetime | None
     return top.join(nested, "cluster_id", "left")
 
 
+def cluster_items(clusters: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each item of each cluster; nothing of a cluster is gathered, however many items it has."""
+    return items.join(clusters.select("cluster_id"), "cluster_id")
+
+
 def location_key(name: str = "location_name", lat: str = "lat", lon: str = "lon") -> Column:
     """Lower-case name, else its letters and digits, else the place at two decimals."""
     return F.coalesce(F.nullif(F.lower(name), F.lit("")), F.format_string("%.2f_%.2f", lat, lon))

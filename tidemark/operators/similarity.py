@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, geo, ngrams, text, times
-from . import features
+from . import features, lexical
 
 
 @dataclass(frozen=True)
@@ -176,15 +176,12 @@ def semantic_matches(
 
 
 def lexical_matches(items: DataFrame, entries: DataFrame, pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones by stretches."""
-    a = items.select("id", text.canonical(F.col("text")).alias("ca")).filter("ca <> ''")
-    b = entries.select("pos", text.canonical(F.col("text")).alias("cb")).filter("cb <> ''")
-    met = pairs.join(a, "id").join(F.broadcast(b), "pos")
-    scored = met.select("id", "pos", fuzzy.token_set(rules.token_set)("ca", "cb").alias("ts"), fuzzy.partial(rules.partial)("ca", "cb").alias("p"))
+    """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones by stretches; only among ``pairs``."""
+    found = lexical.near_copies(items, checked(entries), rules.token_set, rules.partial).join(pairs, ["id", "pos"], "left_semi")
     kinds = F.array(
-        F.struct((F.col("ts") / 100).alias("score"), F.lit("near_dup_rapidfuzz").alias("reason")), F.struct((F.col("p") / 100).alias("score"), F.lit("near_dup_partial").alias("reason"))
+        F.struct((F.col("token_set") / 100).alias("score"), F.lit(STAGES[0]).alias("reason")), F.struct((F.col("partial") / 100).alias("score"), F.lit(STAGES[1]).alias("reason"))
     )
-    return scored.filter("ts > 0 OR p > 0").select("id", "pos", F.explode(kinds).alias("k")).select("id", "pos", "k.*").filter("score > 0")
+    return found.select("id", "pos", F.explode(kinds).alias("k")).select("id", "pos", "k.*").filter("score > 0")
 
 
 def best(matches: DataFrame) -> DataFrame:

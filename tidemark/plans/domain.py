@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ngrams, text, times
-from ..operators import clustering, features, gazetteer, geocode, ingest, live, similarity
+from ..operators import clustering, features, gazetteer, geocode, ingest, lexical, live, similarity
 from ..sources import feeds
 from .fixtures import AS_OF
 from .registry import query
@@ -177,7 +177,13 @@ def label_weights(t):
     return signatures(t).groupBy("id").agg(F.round(F.sum(features.weight(F.col("label"))), 6).alias("w"))
 
 
-@query("SIM-04", f"SELECT id, bool_or(regexp_matches(value, '^(protest|violence|death|internet|regime|sanctions):') OR value IN ('primary_protest', 'primary_violence', 'primary_death', 'primary_internet', 'primary_regime')) AS event FROM {SIGNATURE} WHERE label = 'SEMANTIC' GROUP BY 1")
+#: Whether a SEMANTIC value marks an event: an indicator, or ``family:word`` with such a family or an indicator as word.
+IS_EVENT = "(value IN ({words}) OR (contains(value, ':') AND (split_part(value, ':', 1) IN ({families}) OR split_part(value, ':', 2) IN ({words}))))".format(
+    words=", ".join(f"'{w}'" for w in features.EVENT_WORDS), families=", ".join(f"'{f}'" for f in features.EVENT_FAMILIES)
+)
+
+
+@query("SIM-04", f"SELECT id, bool_or({IS_EVENT}) AS event FROM {SIGNATURE} WHERE label = 'SEMANTIC' GROUP BY 1")
 def event_like(t):
     semantic = signatures(t).filter("label = 'SEMANTIC'")
     return semantic.groupBy("id").agg(F.max(features.is_event(F.col("value"))).alias("event"))
@@ -263,7 +269,7 @@ def first_best(t):
     return similarity.best(near_pairs(t).withColumnRenamed("ng", "score")).select("id", "pos")
 
 
-EVENTS = "(SELECT id, bool_or(regexp_matches(value, '^(protest|violence|death|internet|regime|sanctions):') OR value LIKE 'primary_%' AND value NOT IN ('primary_media', 'primary_activist', 'primary_sanctions')) AS e FROM {} WHERE label = 'SEMANTIC' GROUP BY 1)"
+EVENTS = "(SELECT id, bool_or(" + IS_EVENT + ") AS e FROM {} WHERE label = 'SEMANTIC' GROUP BY 1)"
 DATES = "(SELECT id, list(value) AS d FROM {} WHERE label = 'ISO_DATE' GROUP BY 1)"
 JUDGED = f"""(SELECT c.id, c.pos, ng, coalesce(sig, 0) AS sig, coalesce(ea.e, false) AND coalesce(eb.e, false) AS events,
   da.d IS NOT NULL AND db.d IS NOT NULL AND NOT coalesce(list_has_any(da.d, db.d), false) AS other_dates
@@ -515,21 +521,21 @@ def waiting(t):
 @query("CLU-03")
 def founders(t):
     """Clusters founded by the items of a batch that no entry takes, older or of the batch."""
-    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of), lexical=False)
+    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of))
     return given.filter("founder").select("id", "cluster_id")
 
 
 @query("CLU-04")
 def leader_clustering(t):
     """Every item of the batch with its cluster, as if taken one by one."""
-    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of), lexical=False)
+    given = clustering.assign_batch(waiting(t), similarity.index_of(t.clusters, t.as_of))
     return given.select("id", "cluster_id", "founder", F.round("score", 6).alias("score"), "reason")
 
 
 @query("STM-03")
 def clustering_cycle(t):
     """One cycle: cluster, clean up, recount."""
-    _, clusters, _ = clustering.cycle(t.assigned, t.clusters, t.as_of, lexical=False)
+    _, clusters, _ = clustering.cycle(t.assigned, t.clusters, t.as_of)
     return clusters.select("cluster_id", "item_count", "location_name", times.epoch_seconds(F.col("last_seen_at")).alias("last_seen"))
 
 
@@ -575,6 +581,13 @@ def enrichment(t):
     return geocode.enriched(records, found, index(t), t.places, ["id"]).select("id", "location_name", F.round("lat", 6).alias("lat"))
 
 
+@query("SIM-09")
+def near_copies(t):
+    """Items that are near-copies of an entry, or hold one but for some letters, of all pairs."""
+    found = lexical.near_copies(t.items.select("id", F.col("item_text").alias("text")), similarity.checked(entries(t)), RULES.token_set, RULES.partial)
+    return found.select("id", "pos", F.round("token_set", 6).alias("token_set"), F.round("partial", 6).alias("partial"))
+
+
 @query("CLU-06", "SELECT id FROM assigned WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE location_name IS NOT NULL)")
 def stale_entries(t):
     return t.assigned.join(t.clusters.filter("location_name IS NOT NULL").select("cluster_id"), "cluster_id", "left_semi").select("id")

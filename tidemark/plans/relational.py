@@ -174,7 +174,7 @@ def display_title(t):
 
 @query("JOIN-01", "SELECT c.cluster_id, count(a.id) AS n, coalesce(string_agg(a.id::VARCHAR, ',' ORDER BY a.published_at DESC NULLS FIRST, a.id), '') AS items FROM clusters c LEFT JOIN assigned a ON a.cluster_id = c.cluster_id GROUP BY 1")
 def clusters_with_items(t):
-    served = serve.clusters_since(t.clusters, t.assigned, limit=1_000_000)
+    served = serve.clusters_since(t.clusters, t.assigned, limit=None)
     ids = F.array_join(F.transform(F.col("items"), lambda i: i["id"].cast("string")), ",")
     return served.select("cluster_id", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n"), F.coalesce(ids, F.lit("")).alias("items"))
 

@@ -355,7 +355,7 @@ def flat_features(t):
 
 @query("ARR-02", "SELECT c.cluster_id, a.id FROM clusters c JOIN assigned a USING (cluster_id)")
 def flat_items(t):
-    return serve.clusters_since(t.clusters, t.assigned, limit=1_000_000).select("cluster_id", F.explode("items").alias("i")).select("cluster_id", "i.id")
+    return serve.cluster_items(t.clusters, t.assigned).select("cluster_id", "id")
 
 
 @query("ARR-03", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.5 WHEN event_id % 3 = 1 THEN 2.5 ELSE value END AS lat FROM events")
