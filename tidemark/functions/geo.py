@@ -15,7 +15,7 @@ _ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null where a place is; ``least`` would skip it
 
 
 def covering_radius_nm(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
@@ -43,6 +43,12 @@ def check_box(box: tuple[float, float, float, float]) -> tuple[float, float, flo
     return min_lon, min_lat, max_lon, max_lat
 
 
+def box_fault(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """What ``check_box`` would say of a row's box, or null for a good one; missing numbers are out of range."""
+    good = lambda low, high, bound: F.coalesce((low >= -bound) & (low < high) & (high <= bound), F.lit(False))
+    return F.when(~good(min_lon, max_lon, 180), "longitudes must rise within -180 and 180").when(~good(min_lat, max_lat, 90), "latitudes must rise within -90 and 90")
+
+
 def point_box(lat: Column, lon: Column, margin: float = 0.01) -> Column:
     return F.array(lon - margin, lat - margin, lon + margin, lat + margin)
 

@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..schemas import ALT_NAME_DUMP, PLACE_DUMP
+from ..schemas import PLACE_DUMP
+from ..sources import zipped
 
 
-def read_places(spark: SparkSession, path: str, min_population: int = 0) -> DataFrame:
-    """Records of a tab-separated dump. Rows whose id or place do not parse are dropped; an unparsable population is 0."""
-    raw = spark.read.csv(path, sep="\t", quote="", schema=PLACE_DUMP)
-    made = raw.select(
-        F.col("geoname_id").try_cast("bigint").alias("geoname_id"), "name", "ascii_name", "country", "admin1", "admin2",
-        F.col("lat").try_cast("float").alias("lat"), F.col("lon").try_cast("float").alias("lon"), F.substring("feature_class", 1, 1).alias("feature_class"),
-        "feature_code", F.coalesce(F.col("population").try_cast("bigint"), F.lit(0)).alias("population"),
+#: Members of the dumps.
+PLACES_MEMBER, ALT_NAMES_MEMBER = "allCountries.txt", "alternateNamesV2.txt"
+
+
+def _whole(c: Column) -> Column:
+    """An unsigned whole number, or null."""
+    return F.when(c.rlike(r"^\+?[0-9]+$"), c).try_cast("bigint")
+
+
+def places_of(lines: DataFrame, min_population: int = 0) -> DataFrame:
+    """Records of the dump's tab-separated ``value`` lines, by position.
+
+    A line of fewer than 15 columns, or whose id or place does not parse, is
+    dropped; a population that does not parse is 0; an empty class is ``?``.
+    """
+    cut = lines.select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 15)
+    at = {name.split()[0]: F.col("c")[i] for i, name in enumerate(PLACE_DUMP.split(", "))}
+    made = cut.select(
+        _whole(at["geoname_id"]).alias("geoname_id"), at["name"].alias("name"), at["ascii_name"].alias("ascii_name"), at["country"].alias("country"),
+        at["admin1"].alias("admin1"), at["admin2"].alias("admin2"), at["lat"].try_cast("float").alias("lat"), at["lon"].try_cast("float").alias("lon"),
+        F.coalesce(F.nullif(F.substring(at["feature_class"], 1, 1), F.lit("")), F.lit("?")).alias("feature_class"), at["feature_code"].alias("feature_code"),
+        F.coalesce(_whole(at["population"]), F.lit(0)).alias("population"),
     )
     return made.filter("geoname_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").filter(F.col("population") >= min_population)
 
 
-def read_alt_names(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, sep="\t", quote="", schema=ALT_NAME_DUMP)
-    return raw.select(F.col("geoname_id").try_cast("bigint").alias("geoname_id"), "alt_name").filter("geoname_id IS NOT NULL")
+def alt_names_of(lines: DataFrame) -> DataFrame:
+    """``(geoname_id, alt_name)`` of ``value`` lines: the second and the fourth column; lines without them are dropped."""
+    cut = lines.select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 4)
+    return cut.select(_whole(F.col("c")[1]).alias("geoname_id"), F.col("c")[3].alias("alt_name")).filter("geoname_id IS NOT NULL")
+
+
+def read_places(spark: SparkSession, path: str, min_population: int = 0, member: str = PLACES_MEMBER) -> DataFrame:
+    """Records of a dump, a text file or a ZIP of it, which is read in ranges without unpacking."""
+    return places_of(_dump_lines(spark, path, member), min_population)
+
+
+def read_alt_names(spark: SparkSession, path: str, member: str = ALT_NAMES_MEMBER) -> DataFrame:
+    return alt_names_of(_dump_lines(spark, path, member))
+
+
+def _dump_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+    return spark.read.text(path) if path.endswith(".txt") else zipped.member_lines(spark, path, member)
 
 
 def postings(places: DataFrame, alt_names: DataFrame, names: tuple[str, ...] = ("name", "ascii_name")) -> DataFrame:

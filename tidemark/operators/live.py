@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import cells
 
 
 def merge_vessels(messages: DataFrame, fields: tuple[str, ...] = ("sog",), order: str = "event_id", seen: str = "seen") -> DataFrame:
@@ -16,6 +17,20 @@ def merge_vessels(messages: DataFrame, fields: tuple[str, ...] = ("sog",), order
     )
 
 
+def subscribed(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``messages`` once for each subscription that wants them, with its ``subscription``.
+
+    ``subscriptions``: subscription, min_lat, min_lon, max_lat, max_lon, and
+    ``vessels`` and ``types``, arrays of what is wanted; null or empty wants
+    all. A subscription of several boxes has a row for each; a message in more
+    than one of them comes once. In a stream the table is read anew by each
+    batch, so a change acts from the next one on.
+    """
+    met = cells.within_boxes(messages, subscriptions.select("subscription", "min_lat", "min_lon", "max_lat", "max_lon", "vessels", "types"))
+    wants = lambda wanted, value: F.coalesce(F.size(wanted) == 0, F.lit(True)) | F.array_contains(wanted, F.col(value))
+    return met.filter(wants("vessels", "mmsi") & wants("types", "message_type")).select(*messages.columns, "subscription").distinct()
+
+
 def stop_rule(timeout: float) -> tuple[float, float]:
     """``(least seconds, stable seconds)`` of a snapshot: it ends when none new came for the second, after the first."""
     return max(1.0, min(5.0, 0.6 * timeout)), max(0.75, min(2.0, 0.2 * timeout))

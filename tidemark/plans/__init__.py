@@ -1,6 +1,6 @@
 """Fixture tables and the queries under the inventory's IDs."""
 
-from . import domain, relational, textual
+from . import domain, landed, relational, textual
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "domain", "relational", "textual"]
+__all__ = ["ORACLE_SQL", "QUERIES", "domain", "landed", "relational", "textual"]

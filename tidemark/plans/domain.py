@@ -319,9 +319,10 @@ def assignments(t):
     return similarity.assign(items, entries(t)).select("id", "pos", F.round("score", 6).alias("score"), "reason")
 
 
-@query("STR-07", r"SELECT id, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS norm FROM (SELECT id, regexp_replace(title, '[^ -~]', '', 'g') AS t FROM items)")
+@query("STR-07", r"SELECT id, replace(lower(regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), '^ | $', '', 'g')), 'ß', 'ss') AS norm FROM items")
 def norm_text(t):
-    return t.items.select("id", fuzzy.norm_text(F.regexp_replace("title", "[^ -~]", "")).alias("norm"))
+    """Letters fold as in all languages; of the test texts' only the sharp s has a form of its own."""
+    return t.items.select("id", fuzzy.norm_text(F.col("title")).alias("norm"))
 
 
 SAMPLES = ["слово два", "نص عربي", "טקסט כאן", "κείμενο εδώ", "पाठ यहाँ", "漢字漢字", "ひらがなで", "カタカナで", "한국어다", "ქართული", "12 34", "ab слово", "слово ab cd ef"]
@@ -371,11 +372,21 @@ def spaced_page_texts(t):
     return t.table("pages").select("page_id", fuzzy.spaced_page_text(F.col("html")).alias("text"))
 
 
-@query("STR-25", "SELECT id, round((200.0 * greatest(5.0 / (la + lb), 4.0 / (4 + la), 4.0 / (4 + lb)))::DOUBLE, 6) AS score FROM (SELECT id, 6 + id % 20 AS la, 6 + id % 15 AS lb FROM items)")
+HAS_WORD = r"regexp_matches({}, '\S')"
+
+
+@query("STR-25", f"SELECT id, CASE WHEN id % 3 <> 0 AND {HAS_WORD.format('title')} THEN 100.0 ELSE 0.0 END::DOUBLE AS score FROM items")
 def token_set(t):
-    """Sides share ``news``; their other tokens have no letter in common, so ratios follow from lengths."""
-    side = lambda letter, n: F.concat(F.lit("news "), F.repeat(F.lit(letter), (F.col("id") % n + 1).cast("int")))
-    return t.items.select("id", F.round(fuzzy.token_set()(side("b", 20), side("c", 15)), 6).alias("score"))
+    """A title's words are its text's, too; a word of letters that no text has shares nothing."""
+    other = F.when(F.col("id") % 3 != 0, F.col("body")).otherwise("ωψωψ")
+    return t.items.select("id", fuzzy.token_set()("title", other).alias("score"))
+
+
+@query("STR-26", "SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN title = '' THEN 0.0 ELSE least(100.0, 200.0 * len(regexp_extract_all(title, '[^ωψ]')) / (2 * len(title))) END ELSE CASE WHEN title = '' AND body <> '' THEN 0.0 ELSE 100.0 END END::DOUBLE AS score FROM items")
+def partial_ratio(t):
+    """A title is a stretch of its text; with every third text it is asked of itself between letters that no text has."""
+    framed = F.concat(F.lit("ωψωψ"), F.col("title"), F.lit("ψω"))
+    return t.items.select("id", fuzzy.partial(88.0)("title", F.when(F.col("id") % 3 == 0, framed).otherwise(F.col("body"))).alias("score"))
 
 
 @query("AGG-18", "SELECT mmsi, min(seen) AS first_seen, max(seen) AS last_seen, arg_max(message_type, event_id) AS last_message_type, round(arg_max(sog, event_id) FILTER (sog IS NOT NULL), 6) AS sog FROM vessel_messages GROUP BY 1")
@@ -383,11 +394,6 @@ def vessels(t):
     return live.merge_vessels(t.vessel_messages).withColumn("sog", F.round("sog", 6))
 
 
-@query("STM-06", "SELECT mmsi, arg_max(message_type, event_id) AS last_message_type, max(seen) AS last_seen FROM vessel_messages GROUP BY 1")
-def vessel_state(t):
-    return live.merge_vessels(t.vessel_messages).select("mmsi", "last_message_type", "last_seen")
-
-
 @query("SORT-07", "SELECT mmsi FROM (SELECT DISTINCT mmsi FROM vessel_messages) ORDER BY 1 LIMIT 100")
 def sorted_vessels(t):
     return live.merge_vessels(t.vessel_messages).orderBy("mmsi").limit(100).select("mmsi")
@@ -408,11 +414,6 @@ def create_record(t):
     return made.select("id", "source", "source_id", F.col("collected_at").cast("int").alias("collected_at"))
 
 
-@query("SRC-06", "SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS r FROM items) WHERE r <= 200")
-def feed_cap(t):
-    return feeds.cap(t.items.withColumnRenamed("source", "feed"), 200, "id").select(F.col("feed").alias("source"), "id")
-
-
 @query("SRC-07", f"SELECT id, title, strftime(coalesce(published_at, TIMESTAMP '{AS_OF}'), '%Y-%m-%dT%H:%M:%SZ') AS published FROM items WHERE title <> '' AND id % 8 <> 0")
 def rss_articles(t):
     raw = t.items.select("id", F.when(F.col("id") % 8 != 0, F.concat(F.lit("https://x/"), "id")).alias("link"), F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), F.lit("").alias("summary"), times.iso_text(F.col("published_at")).alias("published"))
@@ -437,10 +438,12 @@ def fetch_plan(t):
     return feeds.mastodon_plan(t.table("region").select(F.col("r_name").alias("instance")), ["news", "world"])
 
 
-@query("SRC-15", "SELECT id, substring(trim(body), 1, 100) AS title, 'https://m/' || id AS source_id FROM items")
+@query("SRC-15", r"SELECT id, substring(x || ' #tag', 1, 100) AS title, x || ' #tag' AS text, 'https://m/' || id AS source_id FROM (SELECT id, regexp_replace(body, '^\s+|\s+$', '', 'g') AS x FROM items)")
 def mastodon_records(t):
-    raw = t.items.select("id", F.concat(F.lit("https://m/"), "id").alias("url"), F.col("body").alias("content"), F.lit("t").alias("created_at"))
-    return feeds.mastodon_records(raw, to_text=F.trim).select("id", "title", "source_id")
+    """Statuses as HTML: a paragraph with references, and a tag that is a link."""
+    escaped = F.replace(F.replace(F.replace(F.col("body"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    raw = t.items.select("id", F.concat(F.lit("https://m/"), "id").alias("url"), F.concat(F.lit("<p>"), escaped, F.lit("</p><a href='/tags/tag'>#tag</a>")).alias("content"), F.lit("t").alias("created_at"))
+    return feeds.mastodon_records(raw).select("id", "title", "text", "source_id")
 
 
 @query("SRC-16", "SELECT channel FROM (SELECT 'ch' || (user_id % 40) AS channel, min(event_id) AS f FROM events GROUP BY 1)")
@@ -466,19 +469,6 @@ def telegram_records(t):
     return feeds.telegram_records(raw).select("id", "source_id", F.array_join("media_urls", "|").alias("media"), "title")
 
 
-@query("SRC-19", "SELECT geoname_id, name, population FROM places WHERE geoname_id % 10 <> 0")
-def place_dump(t):
-    """The dump's positional rules over landed lines."""
-    lines = t.places.select(F.when(F.col("geoname_id") % 10 == 0, "bad").otherwise(F.col("geoname_id").cast("string")).alias("geoname_id"), "name", F.col("population").cast("string").alias("population"))
-    made = lines.select(F.col("geoname_id").try_cast("bigint").alias("geoname_id"), "name", F.coalesce(F.col("population").try_cast("bigint"), F.lit(0)).alias("population"))
-    return made.filter("geoname_id IS NOT NULL")
-
-
-@query("SRC-20", "SELECT geoname_id, alt_name FROM alt_names")
-def alt_name_dump(t):
-    return t.alt_names.select(F.col("geoname_id").cast("string").try_cast("bigint").alias("geoname_id"), "alt_name")
-
-
 @query("SRC-25", "SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM clusters) AS clusters")
 def scans(t):
     return t.items.agg(F.count("*").alias("items")).crossJoin(t.clusters.agg(F.count("*").alias("clusters")))  # one row each

@@ -12,6 +12,5 @@ PLACE_DUMP = (
     "feature_code string, country string, cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population string, "
     "elevation string, dem string, timezone string, modified string"
 )
-ALT_NAME_DUMP = "alt_id string, geoname_id string, iso_language string, alt_name string"
 #: The sources a record may name.
 SOURCES = ("gdelt", "telegram", "mastodon", "adsb", "ais", "rss")
