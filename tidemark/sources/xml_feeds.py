@@ -70,7 +70,10 @@ def feed_items(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
 
 
 def broken_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, raw)`` of files that no kind of feed can be read from, for the dead letters; an empty file is no feed and not broken."""
+    """``(file, titled, raw)`` of files that no kind of feed can be read from, for the dead letters; an empty file is no feed and not broken.
+
+    ``titled``: whether a title was read before the fault.
+    """
     found = None
     for tag in KINDS:
         read = _read(spark, path, tag)
@@ -78,4 +81,4 @@ def broken_feeds(spark: SparkSession, path: str) -> DataFrame:
         one = read.select("file", F.col(read.columns[0]).isNotNull().alias("titled"), F.col(CORRUPT).alias("raw"))
         found = one if found is None else found.unionByName(one)
     judged = found.groupBy("file").agg(F.max("raw").alias("raw"), F.max(F.col("raw").isNull()).alias("good"), F.max("titled").alias("titled"))
-    return judged.filter("NOT good AND trim(raw) <> ''").select("file", "raw")
+    return judged.filter("NOT good AND trim(raw) <> ''").select("file", "titled", "raw")
