@@ -21,19 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, utf8
 from .order import place_rows
 
-#: Letters and digits of ASCII and all beyond it; A-Z are lowered before.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Letters and digits of ASCII and all beyond it, in UTF-8: no byte of a longer character is one of ASCII.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: Characters of a slice, all of whose suffixes are sorted at once; longer texts are cut between words.
+#: Bytes of a slice, all of whose suffixes are sorted at once; longer texts are cut between words.
 SLICE = 4_000_000
 
 
-def pieces(text: str, most: int) -> Iterator[str]:
-    """``text`` in pieces of at least ``most`` characters but the last, cut where no word is."""
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """``text`` in pieces of at least ``most`` bytes but the last, cut where no word is."""
     at = 0
     while len(text) - at > most:
         end = at + most
@@ -51,7 +50,14 @@ def suffix_order(ids: np.ndarray, grams: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(ids)
     shifted = [np.concatenate((ids[k:], np.full(min(k, n), -1, ids.dtype))) for k in range(grams)]
-    order = np.lexsort(shifted[::-1])
+    base = int(ids.max(initial=0)) + 2
+    if base**grams < 1 << 62:  # one number holds all that is compared
+        key = np.zeros(n, np.int64)
+        for s in shifted:
+            key = key * base + (s + 1)
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(shifted[::-1])
     lcp = np.zeros(n, np.int64)
     same = np.ones(max(n - 1, 0), bool)
     for s in shifted:
@@ -61,38 +67,46 @@ def suffix_order(ids: np.ndarray, grams: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def slice_buckets(words: list[list[str]], grams: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, bucket)`` of every n-gram of up to ``grams`` words in some texts, repeats included, by position."""
-    known: dict[str, int] = {}
-    ids: list[int] = []
-    for w in words:
-        ids += [known.setdefault(x, len(known)) for x in w]
-        ids.append(-1)
-    vocabulary = [w.encode() for w in known]
-    a = np.array(ids, np.int64)
-    text = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+def slice_buckets(words: list[list[bytes]], grams: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, bucket)`` of every n-gram of up to ``grams`` words in some texts, repeats included, by position.
+
+    A run's hash goes on from that of its first words, which is known.
+    """
+    size = np.array([len(w) for w in words], np.int64)
+    coded = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    ends = np.cumsum(size + 1) - 1
+    a = np.full(int(size.sum()) + len(words), -1, np.int64)
+    inside = np.ones(len(a), bool)
+    inside[ends] = False
+    a[inside] = coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(words)), size + 1)
+    left = np.repeat(ends, size + 1) - np.arange(len(a))  # words from each place to its text's end
     order, lcp = suffix_order(a, grams)
+    first = np.array([zlib.crc32(w) for w in vocabulary], np.int64)
+    later = np.array([b" " + w for w in vocabulary], object)
+    hashed = np.where(a >= 0, first[a] if len(first) else 0, 0)  # by place, of the k-gram that begins there
     of, found = [], []
-    ends = np.flatnonzero(a < 0)
-    left = ends[np.searchsorted(ends, np.arange(len(a)))] - np.arange(len(a))  # words from each place to its text's end
     for k in range(1, grams + 1):
         whole = left[order] >= k
         places, shared = order[whole], lcp[whole]
         # those with fewer words left sort first among equals, so none parts a run of k-grams
         starts = np.flatnonzero(shared < k)
         heads = places[starts]
-        bucket = np.fromiter((zlib.crc32(b" ".join([vocabulary[i] for i in a[h : h + k].tolist()])) % buckets for h in heads.tolist()), np.int64, len(heads))
+        if k > 1:
+            runs = [zlib.crc32(w, c) for w, c in zip(later[a[heads + k - 1]].tolist(), hashed[heads].tolist())]
+            hashed[places] = np.repeat(np.array(runs, np.int64), np.diff(np.append(starts, len(places))))
         of.append(text[places])
-        found.append(np.repeat(bucket, np.diff(np.append(starts, len(places)))))
+        found.append(hashed[places] % buckets)
     return np.concatenate(of), np.concatenate(found)
 
 
-def _slices(ids: list, texts: list[str | None], grams: int, most: int) -> Iterator[tuple[list, list[list[str]], list[int]]]:
+def _slices(texts: list[bytes], grams: int, most: int) -> Iterator[tuple[list, list[list[bytes]], list[int]]]:
     """Slices of ``(row, words, own)``: a later piece of a text begins with the last words of the piece before, ``own`` says how many."""
     rows, words, borrowed, size = [], [], [], 0
-    for row, text in zip(ids, texts):
-        last: list[str] = []
-        for piece in pieces((text or "").translate(LOWERED), most):
+    for row, text in enumerate(texts):
+        last: list[bytes] = []
+        for piece in pieces(text.lower(), most):  # of bytes: A-Z only
             own = WORD.findall(piece)
             rows.append(row)
             words.append(last + own)
@@ -108,7 +122,7 @@ def _slices(ids: list, texts: list[str | None], grams: int, most: int) -> Iterat
 
 def _batch_buckets(batch: pa.RecordBatch, grams: int, buckets: int, most: int):
     """Per slice of a batch: row numbers, words of each, and ``(text, bucket)`` of its own n-grams."""
-    for rows, words, borrowed in _slices(list(range(batch.num_rows)), batch.column(batch.num_columns - 1).to_pylist(), grams, most):
+    for rows, words, borrowed in _slices(batch.column(batch.num_columns - 1).to_pylist(), grams, most):
         of, found = slice_buckets(words, grams, buckets)
         own = np.array([len(w) - b for w, b in zip(words, borrowed)], np.int64)
         # n-grams that lie in borrowed words were counted with the piece before
@@ -135,7 +149,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", grams: int = 2, bucke
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select(utf8(text_col).alias("body")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(source: dict[int, int], target: dict[int, int], buckets: int) -> np.ndarray:
@@ -154,14 +168,18 @@ def weights(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col:
         for batch in batches:
             n_words, n, total = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for rows, own, of, found in _batch_buckets(batch, grams, len(gain), most):
-                np.add.at(n_words, rows, own)
-                np.add.at(n, rows[of], 1)
-                np.add.at(total, rows[of], gain[found])
+                held = np.bincount(of, minlength=len(rows))
+                np.add.at(n_words, rows, own)  # a long text has more than one piece
+                np.add.at(n, rows, held)
+                by_text = np.argsort(of, kind="stable")
+                sums = np.concatenate(([0], np.cumsum(gain[found[by_text]])))
+                upto = np.cumsum(held)
+                np.add.at(total, rows, sums[upto] - sums[upto - held])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words), pa.array(n), pa.array(np.where(n > 0, total // np.maximum(n, 1), 0))], names=["doc_id", "n_words", "n_features", "weight"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(id_col: str, seed: int) -> Column:
