@@ -457,3 +457,10 @@ def test_copy_stages_equal_brute_force(spark, docs, odd, monkeypatch):
         assert {i for i, _ in texts_of(near)} == set(group.values()) and near.columns == df.columns
     null = near_copies.near_groups(odd)
     assert null.count() == len(ODD) and null.filter("doc_id IS NULL AND component_id IS NULL").count() == 1
+
+
+def test_passages_of_any_script_leak_verbatim(spark):
+    items = ["İSTANBUL'DA BİR GÜN İÇİNDE YAĞAN YAĞMUR ŞEHRİ SELE BOĞDU VE İNSANLAR SOKAKTA KALDI, DEDİ İBRAHİM USTA", "ΟΔΥΣΣΕΥΣ ΚΑΙ ΤΗΛΕΜΑΧΟΣ ΕΙΔΑΝ ΤΟΥΣ ΜΝΗΣΤΗΡΕΣ ΣΤΙΣ ΑΥΛΕΣ ΤΟΥ ΠΑΛΑΤΙΟΥ ΚΑΙ ΣΙΩΠΗΣΑΝ ΩΣ ΤΟ ΒΡΑΔΥ", "ΤΕΛΟΣ ΙΣ"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, t if k == 2 else f"Some words before. {t} And some after.") for k, t in enumerate(items)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()) == [(0, 0), (1, 1), (2, 2)]
