@@ -34,13 +34,13 @@ def assign_batch(
     """
     taken = items.orderBy(F.desc("collected_at"), "id").limit(most)
     turn = F.row_number().over(Window.orderBy(F.desc("collected_at"), "id")).cast("long")  # of at most ``most`` rows
-    batch = taken.withColumn("turn", turn).checkpoint()
+    batch = cluster.cut(taken.withColumn("turn", turn))
     ask = batch.select(F.col("turn").alias("id"), "text", "created_at")
     # every item is an entry, too, that later ones may meet; newer entries come first
     as_entries = batch.select((-F.col("turn")).alias("pos"), F.substring("text", 1, 200).alias("text"), F.col("created_at").alias("last_seen_at"))
     whole = replace(rules, max_candidates=similarity.MAX_ENTRIES)
     found = similarity.accepted(ask, index.select("pos", "text", "last_seen_at").unionByName(as_entries), whole, lexical, entities)
-    found = found.filter((F.col("pos") > 0) | (-F.col("pos") < F.col("id"))).checkpoint()
+    found = cluster.cut(found.filter((F.col("pos") > 0) | (-F.col("pos") < F.col("id"))))
 
     accepts = found.filter("pos < 0").select((-F.col("pos")).alias("earlier"), F.col("id").alias("later"))
     led = cluster.leaders(ask.select("id"), accepts, found.filter("pos > 0").select("id").distinct())
@@ -66,16 +66,16 @@ def cycle(
     go and free their items; counts, places and names are those of the members.
     """
     waiting = items.filter("cluster_id IS NULL").select("id", "source", "source_id", F.col("item_text").alias("text"), serve.event_time().alias("created_at"), "collected_at")
-    given = assign_batch(waiting, similarity.index_of(clusters, as_of), rules, entities, lexical).checkpoint()
+    given = cluster.cut(assign_batch(waiting, similarity.index_of(clusters, as_of), rules, entities, lexical))
     chosen = given.select("id", F.col("cluster_id").alias("_given"))
     placed = items.join(chosen, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_given")).drop("_given")
     founders = items.join(given.filter("founder").select("id"), "id", "left_semi")
     founded = serve.found_clusters(founders, as_of).select("cluster_id", "title", "lat", "lon", "location_name", "first_seen_at", "last_seen_at")
     touched = given.select("cluster_id").distinct().withColumn("_touched", F.lit(True))
     every = clusters.select(founded.columns).unionByName(founded).join(touched, "cluster_id", "left")
-    every = every.withColumn("last_seen_at", F.when(F.col("_touched"), as_of).otherwise(F.col("last_seen_at"))).drop("_touched").checkpoint()
+    every = cluster.cut(every.withColumn("last_seen_at", F.when(F.col("_touched"), as_of).otherwise(F.col("last_seen_at"))).drop("_touched"))
     alive, kept = serve.expire(every, placed, as_of, days)
-    kept = kept.checkpoint()
+    kept = cluster.cut(kept)
     stats = serve.located_stats(kept).select("cluster_id", "item_count", *[F.col(c).alias(f"_{c}") for c in ("lat", "lon", "location_name")])
     counted = alive.join(stats, "cluster_id", "left").withColumns({
         "item_count": F.coalesce("item_count", F.lit(0)), **{c: F.coalesce(f"_{c}", c) for c in ("lat", "lon", "location_name")},

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, geo, ngrams, text, times
-from . import features, lexical
+from . import cluster, feature_index, features, lexical
 
 
 @dataclass(frozen=True)
@@ -48,23 +48,24 @@ def checked(entries: DataFrame) -> DataFrame:
     return entries
 
 
-def candidates(items: DataFrame, entries: DataFrame, item_features: DataFrame, entry_features: DataFrame, most: int) -> DataFrame:
+def candidates(items: DataFrame, entries: DataFrame, most: int) -> DataFrame:
     """``(id, pos)`` pairs that share a feature, the first ``most`` entries of an item; all entries where none is shared.
 
-    ``entries`` is an index, see MAX_ENTRIES: what features its entries have is
-    broadcast, so an item's features never meet those of other items, however
-    many have them.
+    Both are signature arrays, ``entries`` those of an index, see MAX_ENTRIES.
+    An item unites its features' sorted positions, so a feature that all have
+    costs it one list and no row.
     """
-    lists = entry_features.groupBy("label", "value").agg(F.collect_set(F.col("id")).alias("entries"))
-    # features lie by item, so pairs are made distinct and cut where they are
-    shared = item_features.join(F.broadcast(lists), ["label", "value"]).select("id", F.explode("entries").alias("pos")).distinct()
-    place = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    pairs = shared.withColumn("place", place).filter(F.col("place") <= most).drop("place")
-    # items without any shared feature see the whole index
-    lonely = items.select("id").join(pairs.select("id").distinct(), "id", "left_anti")
-    index = checked(entries).agg(F.array_sort(F.collect_list("pos")).alias("entries"))
-    everything = lonely.join(F.broadcast(index)).select("id", F.explode("entries").alias("pos"))  # one row, see MAX_ENTRIES
-    return pairs.unionByName(everything)
+    return feature_index.candidates(items, checked(entries), most)
+
+
+def among_candidates(pairs: DataFrame, items: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs`` that are ``candidates``, without making all of these."""
+    return feature_index.among_candidates(pairs, items, checked(entries), most)
+
+
+def jaccards(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(id, pos, sig)``: the weighted Jaccard similarity of signature arrays, where any feature that weighs something is shared."""
+    return feature_index.jaccards(items, checked(entries))
 
 
 def cosines(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -154,14 +155,13 @@ def too_old(now: Column, last_seen: Column, days: int) -> Column:
 
 
 def semantic_matches(
-    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), pairs: DataFrame | None = None, entities: features.EntityExtractor | None = None
+    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), entities: features.EntityExtractor | None = None, signatures: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """``(id, pos, score)`` of pairs that pass every gate. ``items``: id, text, created_at; ``entries``, an index: pos, text, last_seen_at."""
     rep = entries.select(F.col("pos").alias("id"), F.col("text"))
-    fa, fb = features.signature_arrays(items, "id", "text", entities), features.signature_arrays(rep, "id", "text", entities)
-    if pairs is None:
-        pairs = candidates(items, entries, features.feature_rows(fa), features.feature_rows(fb), rules.max_candidates)
-    near = cosines(ngrams.unit_vectors(items, "id", "text"), ngrams.unit_vectors(rep, "id", "text"), rules.min_ngram).join(pairs, ["id", "pos"], "left_semi")
+    fa, fb = signatures or signatures_of(items, entries, entities)
+    near = cosines(ngrams.unit_vectors(items, "id", "text"), ngrams.unit_vectors(rep, "id", "text"), rules.min_ngram)
+    near = among_candidates(near, fa, fb, rules.max_candidates)
     timed = near.join(items.select("id", "created_at"), "id").join(F.broadcast(entries.select("pos", "last_seen_at")), "pos")
     timed = timed.filter(~too_old(F.col("created_at"), F.col("last_seen_at"), rules.max_age_days))
     if rules.script_guard:
@@ -175,9 +175,16 @@ def semantic_matches(
     return judged.withColumn("score", final_score(rules, F.col("created_at"), F.col("last_seen_at"))).filter(F.col("score") >= rules.min_final).select("id", "pos", "score")
 
 
-def lexical_matches(items: DataFrame, entries: DataFrame, pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``(id, pos, score, reason)`` of near-copies by token set, and of partial ones by stretches; only among ``pairs``."""
-    found = lexical.near_copies(items, checked(entries), rules.token_set, rules.partial).join(pairs, ["id", "pos"], "left_semi")
+def signatures_of(items: DataFrame, entries: DataFrame, entities: features.EntityExtractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signature arrays of items and of an index, computed once: whole texts are searched for them, and several stages ask."""
+    rep = entries.select(F.col("pos").alias("id"), F.col("text"))
+    return tuple(cluster.cut(features.signature_arrays(df, "id", "text", entities)) for df in (items, rep))
+
+
+def lexical_matches(items: DataFrame, entries: DataFrame, signatures: tuple[DataFrame, DataFrame], rules: Rules = Rules()) -> DataFrame:
+    """``(id, pos, score, reason)`` of candidates that are near-copies by token set, or partial ones by stretches."""
+    fa, fb = signatures
+    found = among_candidates(lexical.near_copies(items, checked(entries), rules.token_set, rules.partial), fa, fb, rules.max_candidates)
     kinds = F.array(
         F.struct((F.col("token_set") / 100).alias("score"), F.lit(STAGES[0]).alias("reason")), F.struct((F.col("partial") / 100).alias("score"), F.lit(STAGES[1]).alias("reason"))
     )
@@ -191,13 +198,12 @@ def best(matches: DataFrame) -> DataFrame:
 
 
 def accepted(
-    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), lexical: bool = True, entities: features.EntityExtractor | None = None
+    items: DataFrame, entries: DataFrame, rules: Rules = Rules(), near_copies: bool = True, entities: features.EntityExtractor | None = None
 ) -> DataFrame:
     """``(id, pos, score, reason)`` of every pair that one of the three stages accepts, for each that does."""
-    rep = entries.select(F.col("pos").alias("id"), F.col("text"))
-    pairs = candidates(items, entries, features.signature(items, "id", "text", entities), features.signature(rep, "id", "text", entities), rules.max_candidates)
-    found = semantic_matches(items, entries, rules, pairs, entities).withColumn("reason", F.lit(STAGES[-1]))
-    return lexical_matches(items, entries, pairs, rules).unionByName(found) if lexical else found
+    signatures = signatures_of(items, entries, entities)
+    found = semantic_matches(items, entries, rules, entities, signatures).withColumn("reason", F.lit(STAGES[-1]))
+    return lexical_matches(items, entries, signatures, rules).unionByName(found) if near_copies else found
 
 
 #: Reasons in the order of the stages; a match of an earlier stage beats all of later ones.

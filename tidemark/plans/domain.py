@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, ngrams, text, times
-from ..operators import clustering, features, gazetteer, geocode, ingest, lexical, live, similarity
+from ..operators import cluster, clustering, features, gazetteer, geocode, ingest, lexical, live, similarity
 from ..sources import feeds
 from .fixtures import AS_OF
 from .registry import query
@@ -208,14 +208,13 @@ PAIRS = f"(SELECT id, pos FROM {SHARING} UNION ALL SELECT i.id, e.id FROM items
 
 @query("JOIN-07", f"SELECT id, pos FROM {PAIRS}")
 def candidate_pairs(t):
-    return similarity.candidates(t.items, entries(t), signatures(t), entry_features(t), 2500)
+    return similarity.candidates(signature_arrays(t), entry_arrays(t), RULES.max_candidates)
 
 
 @query("WIN-03", f"SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM {SHARING}) WHERE r <= 3")
 def candidate_cap(t):
-    own = signatures(t)
-    capped = similarity.candidates(t.items, entries(t), own, entry_features(t), 3)
-    shared = own.join(F.broadcast(entry_features(t).select("label", "value").distinct()), ["label", "value"]).select("id").distinct()
+    capped = similarity.candidates(signature_arrays(t), entry_arrays(t), 3)
+    shared = signatures(t).join(F.broadcast(entry_features(t).select("label", "value").distinct()), ["label", "value"]).select("id").distinct()
     return capped.join(shared, "id", "left_semi")
 
 
@@ -234,9 +233,7 @@ def entry_arrays(t):
 
 @query("SIM-01", f"SELECT id, pos, round(sig + 1e-9, 6) AS sig FROM {JACCARD}")
 def jaccard(t):
-    pairs = signatures(t).join(F.broadcast(entry_features(t).withColumnRenamed("id", "pos")), ["label", "value"]).select("id", "pos").distinct()
-    scored = similarity.compared(pairs, signature_arrays(t), entry_arrays(t), fuzzy_keys=False)
-    return scored.select("id", "pos", F.round(F.col("sig") + 1e-9, 6).alias("sig"))
+    return similarity.jaccards(signature_arrays(t), entry_arrays(t)).select("id", "pos", F.round(F.col("sig") + 1e-9, 6).alias("sig"))
 
 
 def vector_sql(table):
@@ -278,8 +275,8 @@ JUDGED = f"""(SELECT c.id, c.pos, ng, coalesce(sig, 0) AS sig, coalesce(ea.e, fa
 
 
 def judged(t):
-    fa, fb = signature_arrays(t), entry_arrays(t)
-    near = near_pairs(t).join(candidate_pairs(t), ["id", "pos"], "left_semi")
+    fa, fb = cluster.cut(signature_arrays(t)), cluster.cut(entry_arrays(t))
+    near = similarity.among_candidates(near_pairs(t), fa, fb, RULES.max_candidates)
     return similarity.compared(near, fa, fb, fuzzy_keys=False)
 
 

@@ -93,7 +93,9 @@ def cluster_stream(
     keys = spark.readStream.schema(f"{schema}, batch int, bucket int").parquet(f"{home}/items-keys")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        items = spark.read.parquet(f"{home}/items")
+        # records lie in the folder of the batch that inserted them, and keys name it
+        of = [r[0] for r in batch.select("of_batch").distinct().collect()]
+        items = spark.read.parquet(f"{home}/items").filter(F.col("batch").isin(of)).drop("batch")
         work(items.join(batch.select(*ingest.KEY).distinct(), ingest.KEY, "left_semi").dropDuplicates(ingest.KEY), batch_id)
 
     writer = keys.writeStream.foreachBatch(sink).option("checkpointLocation", f"{home}/cluster-checkpoint")
