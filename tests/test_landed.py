@@ -37,13 +37,15 @@ def test_zip_ranges_give_each_line_once(spark, tmp_path, size):
 def test_feeds_of_three_kinds_and_broken_ones(spark, tmp_path):
     rss = "<?xml version='1.0'?><rss><channel><title>A &amp; B</title>" + "".join(f"<item><title>t{i}</title><link>l{i}</link><pubDate>Wed, 3 Jan 2024 10:00 +0130</pubDate></item>" for i in range(5)) + "</channel></rss>"
     atom = "<feed xmlns='http://www.w3.org/2005/Atom'><title/><entry><title>x</title><link rel='self' href='no'/><link href='yes'/><content>c</content><published>2024-01-03T10:00:00Z</published><updated>2025-01-01T00:00:00Z</updated></entry></feed>"
-    for name, content in (("rss", rss), ("atom", atom), ("none", "<rss><channel><title>empty</title></channel></rss>"), ("bad", "<rss><channel><item><title>y</item></channel></rss>"), ("text", "not xml"), ("blank", "")):
+    rdf = "<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'><channel><title>R</title></channel><item><title>x</title><link>l</link><dc:date>2024-01-03T10:00:00+02:00</dc:date></item></rdf:RDF>"
+    for name, content in (("rss", rss), ("atom", atom), ("rdf", rdf), ("none", "<rss><channel><title>empty</title></channel></rss>"), ("bad", "<rss><channel><item><title>y</item></channel></rss>"), ("text", "not xml"), ("blank", "")):
         (tmp_path / f"{name}.xml").write_text(content)
     got = {(r["file"], r["position"]): r for r in xml_feeds.feed_items(spark, str(tmp_path), most=3).collect()}
-    assert sorted(got) == [("atom.xml", 0), ("rss.xml", 0), ("rss.xml", 1), ("rss.xml", 2)]
+    assert sorted(got) == [("atom.xml", 0), ("rdf.xml", 0), ("rss.xml", 0), ("rss.xml", 1), ("rss.xml", 2)]
     a, r = got["atom.xml", 0], got["rss.xml", 1]
     assert (a["author"], a["link"], a["summary"], a["published"]) == ("Unknown", "yes", "c", "2024-01-03T10:00:00Z")
     assert (r["author"], r["title"], r["link"], r["published"]) == ("A & B", "t1", "l1", "2024-01-03T08:30:00Z")
+    assert (got["rdf.xml", 0]["author"], got["rdf.xml", 0]["link"], got["rdf.xml", 0]["published"]) == ("R", "l", "2024-01-03T08:00:00Z")
     assert sorted(r["file"] for r in xml_feeds.broken_feeds(spark, str(tmp_path)).collect()) == ["bad.xml", "text.xml"]
 
 

@@ -62,7 +62,7 @@ def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     if not short:
         return 100.0 if not long else 0.0
     n, masks, best, bound, at = len(short), _masks(short), least - 1e-9, len(short), 1 - len(short)
-    while at < len(long):
+    while at < len(long) and best < 100:
         piece = long[max(0, at) : at + n]
         if 200.0 * bound / (n + len(piece)) > best:
             bound = _common(n, masks, piece)

@@ -14,10 +14,10 @@ from ..functions import times
 CORRUPT = "_corrupt"
 _ITEM = "array<struct<title: string, link: string, description: string, pubDate: string, date: string>>"
 _ENTRY = "array<struct<title: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, published: string, updated: string>>"
-#: The row tag of each kind of feed, and the part of it that is read.
+#: The row tag of each kind of feed, without its prefix as namespaces are ignored, and the part of it that is read.
 KINDS = {
     "channel": f"title string, item {_ITEM}",
-    "rdf:RDF": f"channel struct<title: string>, item {_ITEM}",
+    "RDF": f"channel struct<title: string>, item {_ITEM}",
     "feed": f"title string, entry {_ENTRY}",
 }
 
@@ -56,7 +56,7 @@ def feed_items(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
         times.iso_text(F.coalesce(times.parse_rfc822(F.col("i.pubDate")), times.parse_iso(F.col("i.date")))).alias("published"),
     )
     rss = flat(_items(_read(spark, path, "channel"), F.col("title"), F.col("item"), most))
-    rdf = flat(_items(_read(spark, path, "rdf:RDF").filter("item IS NOT NULL"), F.col("channel.title"), F.col("item"), most))
+    rdf = flat(_items(_read(spark, path, "RDF").filter("item IS NOT NULL"), F.col("channel.title"), F.col("item"), most))
     atom = _items(_read(spark, path, "feed"), F.col("title"), F.col("entry"), most)
     # the link to the page itself, else the first
     links = F.col("i.link")
