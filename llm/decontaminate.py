@@ -18,21 +18,27 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-Q = 8  # a q-gram is one unsigned 64-bit word
+Q = 8  # characters, that is code points, of a q-gram
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_SEPARATOR = 1  # between texts; in no q-gram of an item
+#: A q-gram is hashed from its halves, these from theirs, and so on; hashes that
+#: meet by chance add a candidate to verify and lose none.
+_HALVES = [(1, np.uint64(0xD6E8FEB86659FD93)), (2, np.uint64(0xA0761D6478BD642F)), (4, np.uint64(0xE7037ED1A0B428DB))]
+_SEPARATOR = 1  # between texts; folding leaves none of it in them
 #: Q-grams in more places than FEW are left out of patterns that need more than
 #: ENOUGH matches; about POSTINGS (pattern, place) pairs are held at once.
 FEW, ENOUGH, POSTINGS = 16, 12, 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()]
-_FOLD[_SEPARATOR] = _SEPARATOR
 
 
 def _fold(raw: bytes) -> np.ndarray:
-    """Lower-cased UTF-8 with every run of other ASCII characters one space."""
-    t = _FOLD[np.frombuffer(raw, np.uint8)]
+    """Code points of lower-cased UTF-8, every run of ASCII other than letters and digits one space."""
+    if raw.isascii():
+        t = _FOLD[np.frombuffer(raw, np.uint8)].astype(np.uint32)
+    else:
+        t = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        t = np.where(t < 128, _FOLD[t & 127], t)
     space = t == 32
     keep = np.ones(len(t), bool)
     keep[1:] = ~(space[1:] & space[:-1])
@@ -47,12 +53,13 @@ def _folded(raw: bytes) -> np.ndarray:
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
-    """The 8-byte word at every position that has one."""
-    n = len(text) - Q + 1
-    if n < 1:
+    """The hash of the q-gram at every position that has one."""
+    if len(text) < Q:
         return np.empty(0, np.uint64)
-    text = np.ascontiguousarray(text)
-    return np.ndarray((n,), "<u8", buffer=text.data, strides=(1,))
+    h = text.astype(np.uint64)
+    for half, factor in _HALVES:
+        h = h[:-half] * factor + h[half:]
+    return h
 
 
 class QGramIndex:
@@ -83,7 +90,7 @@ class QGramIndex:
                     self.items_of.append([])
                 self.items_of[number].append(item)
                 self.windows_of[item] = self.windows_of.get(item, 0) + 1
-        self.patterns = [np.frombuffer(p, np.uint8) for p in numbers]
+        self.patterns = [np.frombuffer(p, np.uint32) for p in numbers]
         self.edits = [int(len(p) * edit_rate) for p in self.patterns]
         self.reach = max(map(len, self.patterns), default=0) + max(self.edits, default=0)
         self.step = max(self.edits, default=0) + 1
@@ -204,7 +211,7 @@ def _banded(text: np.ndarray, patterns: np.ndarray, diagonals: np.ndarray, width
 
 
 def _pieces(texts: list[np.ndarray], limit: int, overlap: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Groups of (text number, piece) of about ``limit`` folded bytes; longer texts in overlapping pieces."""
+    """Groups of (text number, piece) of about ``limit`` folded characters; longer texts in overlapping pieces."""
     group, size = [], 0
     for number, text in enumerate(texts):
         for at in range(0, max(len(text), 1), limit):
@@ -229,7 +236,7 @@ def _scan(index: QGramIndex, texts: list[bytes]) -> Iterator[tuple[int, int | No
     for group in _pieces(folded, 2 << 20, 2 * (index.reach + index.step)):
         parts: list[np.ndarray] = []
         for _, piece in group:
-            parts += [piece, np.full(1, _SEPARATOR, np.uint8)]
+            parts += [piece, np.full(1, _SEPARATOR, np.uint32)]
         begins = np.cumsum([0, *(len(p) + 1 for _, p in group)])
         for pattern, start, edits in index.matches(np.concatenate(parts)):
             number = group[int(np.searchsorted(begins, start, "right")) - 1][0]
@@ -242,7 +249,7 @@ def _scan(index: QGramIndex, texts: list[bytes]) -> Iterator[tuple[int, int | No
 
 
 def _indexes(benchmark: DataFrame, item_col: str, window: int, edit_rate: float, block_bytes: int) -> Iterator[QGramIndex]:
-    """An index of each block of the benchmark; its memory is some 60 times the block's bytes."""
+    """An index of each block of the benchmark; its memory is some 70 times the block's bytes."""
     block: list[tuple[int | None, bytes]] = []
     size = 0
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t")).filter("t IS NOT NULL")

@@ -190,3 +190,25 @@ def edits_within(pattern: str, text: str) -> int:
             new.append(left)
         row = new
     return min(row)
+
+
+def leaks(docs: list[tuple[int, str]], items: list[tuple[int, str]], window: int = 80, rate: float = 1 / 16) -> list[tuple]:
+    """``(doc_id, item_id, windows found, windows, edits)``: every window of every item against every place of every text."""
+    fold = lambda t: re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", t.lower()).strip(" ")
+    out = []
+    for d, text in docs:
+        place = np.array([ord(c) for c in fold(text)])
+        for i, item in items:
+            item = fold(item)
+            starts = [0] if len(item) <= window else [*range(0, len(item) - window, window // 2), len(item) - window]
+            least = []
+            for at in starts:
+                row = np.zeros(len(place) + 1, int)
+                for n, c in enumerate(item[at : at + window]):
+                    row = np.minimum(np.concatenate(([n + 1], row[:-1] + (place != ord(c)))), row + 1)
+                    row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
+                least.append((row.min(), int(len(item[at : at + window]) * rate)))
+            found = [e for e, most in least if e <= most]
+            if found:
+                out.append((d, i, len(found), len(starts), int(sum(found))))
+    return out

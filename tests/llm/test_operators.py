@@ -464,3 +464,23 @@ def test_passages_of_any_script_leak_verbatim(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = spark.createDataFrame([(k, t if k == 2 else f"Some words before. {t} And some after.") for k, t in enumerate(items)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_decontamination_equals_all_windows_in_mixed_scripts(spark):
+    rng = random.Random(12)
+    letters = ["abcdefghijklmnop", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ", "的一是不了人我在有他这中大来上国", "𐐨𐐩𐐪𐐫𐐬𐐭𐐮𐐯𐐰𐐱𐐲𐐳"]
+    made = lambda n, k: "".join(" " if rng.random() < 0.15 else rng.choice(letters[k]) for _ in range(n)).strip()
+    items = [(k, made(rng.choice([40, 78, 130, 200]), k % 5)) for k in range(15)]
+    docs = []
+    for d in range(120):
+        k = d % 15
+        item = items[k][1]
+        size = min(len(item), rng.choice([30, 80, 120]))
+        at = rng.randrange(len(item) - size + 1)
+        passage = list(item[at : at + size])
+        for spot in rng.sample(range(size), rng.randrange(9)):
+            passage[spot] = rng.choice(["", rng.choice(letters[k % 5]), passage[spot] + rng.choice(letters[0])])
+        docs.append((d, made(rng.randrange(200), rng.randrange(5)) + " \x01" * (d % 2) + " " + "".join(passage).upper() + " " + made(rng.randrange(200), k % 5)))
+    wanted = brute.leaks(docs, items)
+    args = [spark.createDataFrame(rows, f"{name}_id long, text string") for name, rows in (("doc", docs), ("item", items))]
+    assert sorted(tuple(r) for r in decontaminate.contaminated(*args).collect()) == wanted and 0 < len(wanted) < len(docs)
