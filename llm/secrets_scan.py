@@ -113,26 +113,50 @@ def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(utf8(text_col), 256).alias("blob"))
 
 
+def _leaving(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(blob, path, body)`` of the rows that leave their tasks.
+
+    Of a blob with over a thousandth of all rows (there are at most 1,000) only
+    the holder's row does, and none where it misses no rule; of others every row.
+    """
+    total = holders.agg(F.sum("paths")).first()[0] or 0
+    hot = holders.filter(F.col("paths") * 1000 > total).select(
+        F.col("of_blob").alias("hot_blob"), F.struct("holder", (F.size("missing") > 0).alias("open")).alias("hot")
+    )
+    rows = docs.select(F.sha2(utf8(text_col), 256).alias("blob"), F.col(id_col).cast("long").alias("path"), utf8(text_col).alias("body"))
+    held = F.col("hot").isNull() | (F.col("hot.open") & F.col("path").eqNullSafe(F.col("hot.holder")))
+    return rows.join(F.broadcast(hot), F.col("blob") == F.col("hot_blob"), "left").filter(held).select("blob", "path", "body")
+
+
+def _bring(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(blob, body, missing)`` of the blobs that miss a rule, from their holders' rows, dealt by address and path.
+
+    Where the table of these blobs is small, as when most were scanned before,
+    Spark sends it to the rows and no body travels.
+    """
+    wanted = holders.filter(F.size("missing") > 0)
+    rows = _leaving(docs, holders, id_col, text_col)
+    return rows.join(wanted, [F.col("blob") == F.col("of_blob"), F.col("path").eqNullSafe(F.col("holder"))]).select("blob", "body", "missing")
+
+
 def scan_unseen(
     docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """``(findings, new ledger rows)`` of the blobs of ``docs`` that miss a rule version in ``ledger``.
 
     The blobs to scan are found on addresses alone, and one path is picked to
-    bring each; only its row travels to the scan, dealt by address and path, so
-    copies of a hot blob stay where they are. Findings and ledger rows are
-    written tables. A blob is scanned only for the rules it misses.
+    bring each, see ``_bring``. Findings and ledger rows are written tables. A
+    blob is scanned only for the rules it misses.
     """
     versions = [r.version for r in rules]
     missing = F.array(*[F.lit(v) for v in versions])
-    holders = blobs(docs, id_col, text_col).groupBy("blob").agg(F.min("doc_id").alias("holder"))
+    holders = blobs(docs, id_col, text_col).groupBy("blob").agg(F.min("doc_id").alias("holder"), F.count("*").alias("paths"))
     if ledger is not None:
         known = ledger.filter(F.col("rule").isin(versions)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        holders = holders.join(known, "blob", "left").filter(F.coalesce(F.size("done"), F.lit(0)) < len(versions))
+        holders = holders.join(known, "blob", "left")
         missing = F.array_except(missing, F.coalesce("done", F.array().cast("array<string>")))
-    holders = holders.select(F.col("blob").alias("of_blob"), "holder", missing.alias("missing"))
-    rows = docs.select(F.sha2(utf8(text_col), 256).alias("blob"), F.col(id_col).cast("long").alias("path"), utf8(text_col).alias("body"))
-    brought = rows.join(holders, [F.col("blob") == F.col("of_blob"), F.col("path").eqNullSafe(F.col("holder"))]).select("blob", "body", "missing")
+    holders = materialize(holders.select(F.col("blob").alias("of_blob"), "holder", "paths", missing.alias("missing")), "secret-holders")
+    brought = _bring(docs, holders, id_col, text_col)
 
     compiled = [(r, re.compile(r.pattern)) for r in rules]
 
