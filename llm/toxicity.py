@@ -219,7 +219,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, columns unchanged.
+
+    Each row is judged by its own text where it is read, so null and repeated
+    ids do not matter and repeated rows stay or go together. Defined results:
+    null and empty texts have the score of a document without words; an empty
+    table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **how))
     place = docs.columns.index(text_col)
 

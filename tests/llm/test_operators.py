@@ -175,6 +175,21 @@ def test_toxicity_swaps_and_odd_rows(spark, sf_dir, docs, odd, empty):
     assert toxicity.drop_toxic(odd.limit(0), labels).columns == odd.columns
 
 
+def test_drop_toxic_judges_rows_not_ids(spark, empty):
+    bad, good = "vile hateful slurs and threats", "a quiet walk by the river"
+    known = [(k, bad if k % 2 else good, k) for k in range(60)]
+    # null and repeated ids, null and empty texts, and a column named as one of the operator's own
+    rows = [*known, (None, bad, 100), (None, good, 101), (1, good, 102), (1, good, 102), (0, bad, 103), (0, bad, 103), (70, None, 104), (71, "", 105)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long").repartition(3)
+    labels = spark.createDataFrame([*((k, k % 2) for k in range(60)), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, held_out=None)
+    kept = toxicity.drop_toxic(docs, labels, held_out=None)
+    least = {t: model.scores([t], {})[0] < 0.3 for t in (bad, good, None, "")}
+    assert not least[bad] and least[good] and least[None] == least[""] and kept.columns == docs.columns
+    assert sorted(r["score"] for r in kept.collect()) == sorted(n for _, t, n in rows if least[t])
+    assert toxicity.drop_toxic(empty, labels).count() == 0
+
+
 def test_shards_are_even_and_gapless(spark, docs, odd, empty):
     for df in (docs, odd):
         rows = sharding.byte_shards(df, 4).collect()
