@@ -179,7 +179,9 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], steps: i
     if len(words) and len(languages) > 1:
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-        pieces = [w[:WINDOW] for w in words]  # longer words are cut into windows when texts are read, too
+        # longer words are cut into windows, as when texts are read
+        labels = np.repeat(labels, [-(-len(w) // WINDOW) for w in words])
+        pieces = [w[at : at + WINDOW] for w in words for at in range(0, len(w), WINDOW)]
         groups = [np.flatnonzero(labels == k) for k in range(len(languages))]
         for step in range(1, steps + 1):
             some = np.concatenate([g[rng.integers(len(g), size=max(1, batch // len(languages)))] for g in groups if len(g)])
