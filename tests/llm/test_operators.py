@@ -149,15 +149,6 @@ def test_language_id_learns_and_labels_every_row(docs, odd, empty):
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
 
 
-def test_language_of_text_without_spaces(spark):
-    rng = random.Random(3)
-    made = lambda letters: "0" * 40 + "".join(rng.choices(letters, k=300))  # noqa: E731  alike up to the first window's end
-    rows = [(k, made("abcdefgh" if k % 2 else "stuvwxyz"), "ab"[k % 2]) for k in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language_id.identify(docs, language_id.fit(docs, held_out=4, steps=150)).join(docs, "doc_id").filter(common.is_held_out("doc_id", 4)).collect()
-    assert got and all(r["lang_pred"] == r["lang"] for r in got)
-
-
 def test_gru_gradients_are_right():
     net = language_id.BiGru(3, hidden=3)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
