@@ -473,11 +473,8 @@ class AttentionModel:
         return out.ravel()[at].astype(float) + c.share.ravel().take(c.of[before] * IDS + stream), begin.ravel()[at].astype(float)
 
 
-def follow(model: AttentionModel, stream: np.ndarray, starts: np.ndarray, seed: int, runs: int = 4, rows: int = 32, rate: float = 0.02, share: float = 0.3) -> int:
-    """Adam over runs of neighbouring rows of the texts in random order; the steps made.
-
-    ``share`` of the runs are followed, the same share of every stretch of text.
-    """
+def follow(model: AttentionModel, stream: np.ndarray, starts: np.ndarray, seed: int, runs: int = 4, rows: int = 32, rate: float = 0.02) -> int:
+    """Adam over runs of neighbouring rows of the texts in random order, each run once; the steps made."""
     x, y, _ = blocks_of(stream, starts)
     if not len(x):
         return 0
@@ -485,9 +482,7 @@ def follow(model: AttentionModel, stream: np.ndarray, starts: np.ndarray, seed:
     x = np.concatenate((x, np.full((pad, BLOCK), END, np.int32)))
     y = np.concatenate((y, np.full((pad, BLOCK), -1, np.int32)))
     rng = np.random.default_rng(seed)
-    first = np.arange(0, len(x) - 1, rows)
-    taken = np.floor((np.arange(len(first)) + 1) * share + rng.random())
-    first = rng.permutation(first[np.diff(taken, prepend=np.floor(taken[:1] - share)) > 0]) if share < 1 else rng.permutation(first)
+    first = rng.permutation(np.arange(0, len(x) - 1, rows))
     steps = -(-len(first) // runs)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for step in range(1, steps + 1):
