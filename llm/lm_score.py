@@ -473,7 +473,7 @@ class AttentionModel:
         return out.ravel()[at].astype(float) + c.share.ravel().take(c.of[before] * IDS + stream), begin.ravel()[at].astype(float)
 
 
-def follow(model: AttentionModel, stream: np.ndarray, starts: np.ndarray, seed: int, runs: int = 4, rows: int = 32, rate: float = 0.02) -> int:
+def follow(model: AttentionModel, stream: np.ndarray, starts: np.ndarray, seed: int, runs: int = 8, rows: int = 32, rate: float = 0.03) -> int:
     """Adam over runs of neighbouring rows of the texts in random order, each run once; the steps made."""
     x, y, _ = blocks_of(stream, starts)
     if not len(x):
