@@ -278,7 +278,7 @@ def test_lm_learns(spark, sf_dir):
     path = subwords.default_vocabulary()
     sliced = lm_score.code_texts(docs, "doc_id", "text", 7, path, 200_000)
     held = lambda model: lm_score.score_slices(sliced, model).filter("held_out").agg({"attention_score": "sum"}).first()[0]
-    assert held(lm_score.fit(sliced, path)) > 0.9 * held(lm_score.fit(sliced, path, share=0.0))
+    assert held(lm_score.fit(sliced, path)) > 0.9 * held(lm_score.fit(sliced, path, rate=0.0))
 
 
 def test_packing_holds_every_piece(spark, docs, odd, empty):
