@@ -14,7 +14,8 @@ the word's share of all training words; ``attention_score`` is the network's.
 Everything is learned from all training text. Slices of the texts are coded
 once and written as a table. Counts are vectors summed over tasks in a tree. In
 a round of training every task follows the gradients over its own slices, and
-the rounds' models are averaged; over all rounds each slice is read once.
+the rounds' models are averaged; over all rounds each slice is read once, but
+for the one the first round starts with, which is read twice.
 
 Words meet as packed lists, one for each slice and bucket of words; the bucket
 answers with counts in the order of the list, so words are shuffled once.
