@@ -268,6 +268,10 @@ def index_versions(t):
     return out.select(F.col("asked").cast("int").alias("asked"), F.col("made").cast("int").alias("made"), "n")
 
 
+#: Batches of a trigger where a whole table of lists waits.
+BACKLOG = 400
+
+
 def landed_lists(t, path):
     """Article lists and RSS files with a manifest; one payload of each kind cannot be read."""
     lists = articles_json(t).select(F.concat(F.lit("list-"), F.lpad(F.col("number").cast("string"), 12, "0"), F.lit(".json")).alias("name"), "n", F.col("payload").alias("content"))
@@ -282,14 +286,14 @@ def landed_lists(t, path):
 
 
 def connected(t):
-    """The landed lists through a connector's stream: rows of every batch under ``batch=`` folders."""
+    """The landed lists through a connector's stream: rows of every trigger under a folder of its own, with their batches."""
     path, home = landing.folder(t.spark, "lists"), landing.folder(t.spark, "connected")
     landed_lists(t, path)
 
-    def sink(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{home}/rows/of={batch_id}")
+    def sink(rows, trigger_id):
+        rows.write.mode("overwrite").parquet(f"{home}/rows/of={trigger_id}")
 
-    rows = connectors.stream(t.spark, "gdelt", path, f"{home}/progress.json")
+    rows = connectors.stream(t.spark, "gdelt", path, f"{home}/progress.json", batches=BACKLOG)
     asked = rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{home}/checkpoint").trigger(processingTime="100 milliseconds").start()
     try:
         asked.processAllAvailable()

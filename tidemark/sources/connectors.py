@@ -5,12 +5,15 @@ becomes a record. Fetchers land payloads in a folder and list them in a
 manifest, ``manifest.jsonl``: a line for each file with its name, the number of
 its entries and the time it was fetched. Offsets count entries along the
 manifest, so a batch has an exact bound, and a batch that runs again reads the
-same entries.
+same entries. A trigger takes one batch, or as many as it is told to where a
+backlog waits, as a trigger costs more in bookkeeping than a batch in work; rows
+say which batch they are of.
 """
 
 from __future__ import annotations
 
 import abc
+import bisect
 import json
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
@@ -25,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 MANIFEST = "manifest.jsonl"
 #: Records of a batch at most.
 BATCH = 250
+#: Batches of a task at most.
+TASK = 20
 
 
 class Connector(abc.ABC):
@@ -87,29 +92,58 @@ CONNECTORS: dict[str, type[Connector]] = {c.name: c for c in (RssConnector, Arti
 
 @dataclass
 class Slice(InputPartition):
-    """Entries ``first`` to ``end`` of a landed file."""
+    """Parts of landed files: ``(file, collected_at, first, end, at)``, the last the offset of a file's first entry."""
 
-    file: str
-    collected_at: int
-    first: int
-    end: int
+    parts: list[tuple[str, int, int, int, int]]
 
 
-def _listed(folder: str) -> list[dict[str, Any]]:
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.NotFound:
-        return []
-    with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-        lines = f.read().decode().split("\n")
-    return [json.loads(line) for line in lines[:-1] if line]  # the last line may not be whole yet
+class _Manifest:
+    """The lines of a manifest, which only grows: what was read is not read again."""
+
+    def __init__(self, folder: str):
+        self.store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.path, self.read = f"{path}/{MANIFEST}", 0
+        self.files: list[dict[str, Any]] = []
+        self.starts, self.entries = [], 0  # the offset of each file's first entry, and of the next file's
+
+    def refresh(self) -> None:
+        found = self.store.get_file_info(self.path)
+        if found.type == fs.FileType.NotFound or found.size <= self.read:
+            return
+        with self.store.open_input_file(self.path) as f:
+            f.seek(self.read)
+            fresh = f.read()
+        whole = fresh[: fresh.rfind(b"\n") + 1]  # the last line may not be whole yet
+        self.read += len(whole)
+        for line in filter(None, whole.decode().split("\n")):
+            self.files.append(json.loads(line))
+            self.starts.append(self.entries)
+            self.entries += self.files[-1]["entries"]
+
+    def between(self, start: int, end: int) -> Iterator[tuple[str, int, int, int, int]]:
+        for k in range(max(0, bisect.bisect_right(self.starts, start) - 1), bisect.bisect_left(self.starts, end)):
+            f, at = self.files[k], self.starts[k]
+            first, stop = max(start, at), min(end, at + f["entries"])
+            if first < stop:
+                yield f["file"], f["fetched_at"], first - at, stop - at, at
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
-        self.folder, self.most, self.progress = options["path"], int(options.get("records", BATCH)), options.get("progress")
+        self.folder, self.size, self.progress = options["path"], int(options.get("records", BATCH)), options.get("progress")
+        self.most = self.size * int(options.get("batches", 1))
         self.connector = CONNECTORS[options["connector"]]()
+        self.manifest = None  # made where it is asked, as tasks get copies of the reader
         self.last = self._committed()
 
+    def _listed(self) -> _Manifest:
+        self.manifest = self.manifest or _Manifest(self.folder)
+        self.manifest.refresh()
+        return self.manifest
+
+    def __getstate__(self):
+        return self.__dict__ | {"manifest": None}
+
     def _committed(self) -> int:
         """Where a process before this one came to; offsets in the checkpoint decide, this only bounds the first batch."""
         if not self.progress:
@@ -124,18 +158,13 @@ class _Reader(DataSourceStreamReader):
         return {"entries": 0}
 
     def latestOffset(self):
-        there = sum(f["entries"] for f in _listed(self.folder))
-        return {"entries": min(there, self.last + self.most)}
+        return {"entries": min(self._listed().entries, self.last + self.most)}
 
     def partitions(self, start, end):
         self.last = max(self.last, end["entries"])
-        at, out = 0, []
-        for f in _listed(self.folder):
-            first, stop = max(start["entries"], at), min(end["entries"], at + f["entries"])
-            if first < stop:
-                out.append(Slice(f["file"], f["fetched_at"], first - at, stop - at))
-            at += f["entries"]
-        return out
+        listed, step = self._listed(), self.size * TASK
+        cuts = [*range(start["entries"], end["entries"], step), end["entries"]]
+        return [Slice(list(listed.between(lo, hi))) for lo, hi in zip(cuts, cuts[1:])]
 
     def commit(self, end):
         self.last = max(self.last, end["entries"])
@@ -148,41 +177,43 @@ class _Reader(DataSourceStreamReader):
 
     def read(self, partition) -> Iterator[tuple]:
         store, path = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
-        with store.open_input_stream(f"{path}/{partition.file}") as f:
-            payload = f.read()
-        try:
-            entries = self.connector.entries(payload)
-        except ValueError as bad:
-            yield (self.connector.name, payload.decode(errors="replace"), f"{partition.file}: {bad}")
-            return
-        for entry in entries[partition.first : partition.end]:
+        for file, collected_at, first, end, at in partition.parts:
+            with store.open_input_stream(f"{path}/{file}") as f:
+                payload = f.read()
             try:
-                made, why = self.connector.record(entry, partition.collected_at), None
+                entries = self.connector.entries(payload)
             except ValueError as bad:
-                made, why = entry, str(bad)
-            yield (self.connector.name, json.dumps(made, ensure_ascii=False), why)
+                yield (self.connector.name, payload.decode(errors="replace"), f"{file}: {bad}", (at + first) // self.size)
+                continue
+            for k, entry in enumerate(entries[first:end], at + first):
+                try:
+                    made, why = self.connector.record(entry, collected_at), None
+                except ValueError as bad:
+                    made, why = entry, str(bad)
+                yield (self.connector.name, json.dumps(made, ensure_ascii=False), why, k // self.size)
 
 
 class LandedSource(DataSource):
-    """``readStream.format("landed")``: options ``connector``, ``path``, ``records`` (of a batch), ``progress`` (a file)."""
+    """``readStream.format("landed")``: options ``connector``, ``path``, ``records`` (of a batch), ``batches`` (of a trigger), ``progress`` (a file)."""
 
     @classmethod
     def name(cls):
         return "landed"
 
     def schema(self):
-        return "connector string, value string, error string"
+        return "connector string, value string, error string, batch long"
 
     def streamReader(self, schema):
         return _Reader(self.options)
 
 
-def stream(spark: SparkSession, connector: str, path: str, progress: str, records: int = BATCH) -> DataFrame:
-    """``(connector, value, error)``: a record as JSON, or what could not be read and why, for the dead letters."""
+def stream(spark: SparkSession, connector: str, path: str, progress: str, records: int = BATCH, batches: int = 1) -> DataFrame:
+    """``(connector, value, error, batch)``: a record as JSON, or what could not be read and why, for the dead letters;
+    and its batch: each ``records`` entries along the manifest, of which a trigger takes up to ``batches``."""
     if connector not in CONNECTORS:
         raise ValueError(f"no connector {connector}; there are {', '.join(sorted(CONNECTORS))}")
     spark.dataSource.register(LandedSource)
-    return spark.readStream.format("landed").options(connector=connector, path=path, progress=progress, records=records).load()
+    return spark.readStream.format("landed").options(connector=connector, path=path, progress=progress, records=records, batches=batches).load()
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
