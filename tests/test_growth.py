@@ -1,10 +1,16 @@
 """Work that grows no faster than the input: tasks, plans and steps of the queries that a review found to grow."""
 
-import pytest
+import json
+from datetime import datetime
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from tidemark.functions import ngrams, text
-from tidemark.operators import features
+from tidemark import plans
+from tidemark.functions import fuzzy, ngrams, text
+from tidemark.operators import features, serve
+from tidemark.plans import landed
+from tidemark.sources import connectors
 
 
 def test_texts_are_dealt_by_their_number(spark):
@@ -23,4 +29,67 @@ def test_words_are_cut_once_and_distinct_by_hash(spark):
     assert family.first()["family"] == "death" and plan.count("split(") == 1
     arrays = features.signature_arrays(spark.createDataFrame([(1, "3 days, 3 days, 18,000 and 18,000")], "id long, t string"), "id", "t")
     assert "array_distinct(concat(transform" not in arrays._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(tuple, arrays.first()["features"])) == [("NUM", "18000"), ("NUM", "3"), ("TW", "3d")]
+    assert sorted(map(tuple, arrays.first()["features"])) == [("NUM", "18000"), ("NUM", "3"), ("SEMANTIC", "000"), ("TW", "3d")]
+
+
+def test_numbered_grams_equal_counted_strings(monkeypatch):
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    texts = ["", "a", "ab ab ab", "naïve 漢字 ünï 😀x", wide[:2500], wide, " ".join(wide[k : k + 9] for k in range(0, 3000, 7))]
+    for limit in (ngrams.KEY_BITS, 40):
+        monkeypatch.setattr(ngrams, "KEY_BITS", limit)
+        got = [{} for _ in texts]
+        for at, found in ngrams._counted(texts):
+            for owner, gram, n, grams in found:
+                for o, g, k in zip((owner + at).tolist(), gram.tolist(), n.tolist()):
+                    assert grams[g] not in got[o]
+                    got[o][grams[g]] = k
+        assert got == [dict(ngrams.grams_of(t)) for t in texts]
+        for t, (buckets, n) in zip(texts, ngrams._vectors(texts, {})):
+            wanted = {}
+            for g, k in ngrams.grams_of(t).items():
+                wanted[ngrams.bucket_of(g)] = wanted.get(ngrams.bucket_of(g), 0) + k
+            assert dict(zip(buckets.tolist(), n.tolist())) == wanted and sorted(wanted) == buckets.tolist()
+
+
+def test_items_of_a_cluster_are_in_order_within_a_second(spark):
+    rows = [(1, 200), (2, 900), (3, None), (4, 900), (5, 100)]
+    items = spark.createDataFrame([(i, "c", None if m is None else datetime(2024, 1, 1, 0, 0, 7, m)) for i, m in rows], "id long, cluster_id string, published_at timestamp_ntz")
+    items = items.select("*", *[F.lit(None).cast("string").alias(c) for c in ("source", "source_id", "title", "location_name")], F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    clusters = spark.createDataFrame([("c",)], "cluster_id string")
+    assert [x["id"] for x in serve.clusters_since(clusters, items, limit=None).first()["items"]] == [3, 2, 4, 1, 5]
+
+
+def test_references_without_an_end_are_text():
+    page = "<title>a&amp</title><p>b &copy; &ampc &notit; &&&lt; &#65; &#x42; &#66 c&</p>"
+    assert fuzzy.html_text(page) == "a&ampb © &ampc &notit; &&< A B &#66 c&"
+    assert fuzzy.html_text(page, " ") == "a&amp b © &ampc &notit; &&< A B &#66 c&"
+
+
+def test_versions_hold_all_recent_clusters(spark):
+    """More clusters than an index for matching may have."""
+    clusters = spark.range(6000).select(F.concat(F.lit("c"), "id").alias("cluster_id"), F.lit("t").alias("title"), F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz").alias("last_seen_at"))
+    t = SimpleNamespace(spark=spark, clusters=clusters, as_of=F.lit("2024-01-04 00:30:00").cast("timestamp_ntz"))
+    assert {r["n"] for r in landed.index_versions(t).collect()} == {6000}
+
+
+def test_token_sets_of_all_items_meet_their_texts(spark, sf_dir):
+    found = plans.QUERIES["STR-25"](spark, sf_dir)
+    assert found.filter("id % 3 = 0 AND score = 100").count() > 0 and found.select("mixed").distinct().count() > 5
+
+
+def test_a_trigger_takes_many_batches(spark, tmp_path):
+    names, home = [f"{k}.json" for k in range(30)], tmp_path / "home"
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text(json.dumps({"articles": [{"url": f"u{k * 30 + i}"} for i in range(30)]}))
+    (tmp_path / connectors.MANIFEST).write_text("".join(json.dumps({"file": n, "entries": 30, "fetched_at": 1}) + "\n" for n in names))
+    triggers = []
+
+    def sink(rows, number):
+        triggers.append(number)
+        rows.write.mode("overwrite").parquet(f"{home}/rows/of={number}")
+
+    asked = connectors.stream(spark, "gdelt", str(tmp_path), f"{home}/progress.json", 70, 9).writeStream.foreachBatch(sink).option("checkpointLocation", f"{home}/checkpoint").start()
+    asked.processAllAvailable()
+    asked.stop()
+    found = spark.read.parquet(f"{home}/rows").select("of", "batch", F.get_json_object("value", "$.source_id").alias("u")).collect()
+    assert len(triggers) == 2 and sorted((r["u"], r["batch"], r["of"]) for r in found) == sorted((f"u{i}", i // 70, i // 630) for i in range(900))
