@@ -200,3 +200,43 @@ def test_clusters_of_the_test_tables_equal_one_by_one(spark, sf_dir):
     got = {order[r["id"]]: r["reason"] for r in clustering.assign_batch(waiting, index).collect()}
     assert got == {i: reason for i, (_, reason) in wanted.items()}
     assert sum(r != "new_cluster" for r in got.values()) >= 2  # links of the lexical stage
+
+
+def test_few_entries_of_one_vocabulary_are_compared_letter_by_letter(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(("an", "er", "th", "on", "re", "ti", "ha", "e", "st", "ed")) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    item = " ".join(sorted({rng.choice(words) for _ in range(250)}))
+    entries = [" ".join(sorted({rng.choice(words) for _ in range(rng.randint(3, 30))})) for _ in range(200)]
+    stretch = item[300:460]
+    entries += [stretch, stretch[:70] + "xx" + stretch[74:], item[-90:] + " zzzz", "00 " + item[:80], stretch[::-1], "ж" * 600, item + " zz"]
+    whole = {e: (fuzzy.token_set_ratio(item, c, 85.0), fuzzy.partial_ratio(item, c, 88.0)) for e, c in enumerate(entries)}
+    asked, ratio = [], fuzzy.partial_ratio
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda a, b, least=0.0: asked.append(b) or ratio(a, b, least))
+    found = lexical.Index(list(range(1, len(entries) + 1)), entries).matches(item, 85.0, 88.0)
+    assert {e: (t, p) for e, t, p in found} == {e: both for e, both in whole.items() if max(both) > 0}
+    assert len(found) >= 4 and len(asked) <= len(found) + 10
+
+
+def test_entries_of_a_batch_are_met_by_later_items_only(spark):
+    rows = [(i, f"Flood water breaks the Kelmar dam near Ostby, thousands leave homes {'x' * (i % 3)}") for i in range(1, 7)]
+    items = spark.createDataFrame(rows, "id long, text string")
+    entries = spark.createDataFrame([(-i, t) for i, t in rows] + [(1, rows[0][1])], "pos long, text string")
+    met = lambda earlier: {(r["id"], r["pos"]) for r in lexical.near_copies(items, entries, 85.0, 88.0, earlier).collect()}
+    assert met(True) == {(i, p) for i, p in met(False) if p > 0 or -p < i} and len(met(True)) < len(met(False))
+
+
+def test_features_are_compared_in_the_index_as_pair_by_pair(spark):
+    kind = "id long, features array<struct<label string, value string>>"
+    left = [(1, [("SEMANTIC", "protest"), ("ISO_DATE", "2024-01-01"), ("NUM", "3")]), (2, [("ORG", "acme"), ("YEAR", "2024")]), (3, [])]
+    right = [(-2, [("SEMANTIC", "protest"), ("ISO_DATE", "2024-01-02")]), (4, [("ORG", "acme"), ("NUM", "3")]), (9, [])]
+    pairs = spark.createDataFrame([(a, b, 0.5) for a, _ in left for b, _ in right] + [(1, 4, 0.7)], "id long, pos long, ng double")
+    found = similarity.compared(pairs, spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), fuzzy_keys=False)
+    weight = {"SEMANTIC": 1.3, "ISO_DATE": 0.7, "NUM": 0.7, "ORG": 2.2, "YEAR": 0.6}
+    total = lambda fs: sum(weight[label] for label, _ in fs)
+    got = sorted((r["id"], r["pos"], r["ng"], round(r["sig"], 9), r["shared_key"], r["events"], r["other_dates"]) for r in found.collect())
+    expected = []
+    for i, pos, ng in [(a, b, 0.5) for a, _ in left for b, _ in right] + [(1, 4, 0.7)]:
+        a, b = set(dict(left)[i]), set(dict(right)[pos])
+        union = total(a | b)
+        expected.append((i, pos, ng, round(total(a & b) / union, 9) if union else 0.0, ("ORG", "acme") in a & b, (i, pos) == (1, -2), (i, pos) == (1, -2)))
+    assert got == sorted(expected)
