@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -129,6 +129,19 @@ def _verified(blocks: DataFrame, words: int, share: tuple[int, int]) -> DataFram
     return blocks.select(*keys, "body").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _hooked(met: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what ``met(digest, a)`` does, a row per shared key.
+
+    A text has a smallest text for each of its keys. It is linked with the
+    smallest of these only, and these with it: they are the same few for all
+    texts of a large group, so its links grow with its texts, not with texts times keys.
+    """
+    own = Window.partitionBy("digest")  # a row for each band at most
+    hooked = materialize(met.select("digest", "a", F.min("a").over(own).alias("head")).distinct(), "near-hooked")
+    links = hooked.select(F.col("head").alias("a"), F.col("digest").alias("b")).union(hooked.select("head", "a"))
+    return links.filter("a <> b").distinct()
+
+
 def _grouped(sets: DataFrame, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
     """``(digest, component_id, keeper)``: a group's smallest id, and the row number of one row that has it."""
     distinct = sets.groupBy("digest").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first"))
@@ -137,8 +150,7 @@ def _grouped(sets: DataFrame, text_col: str, words: int, share: tuple[int, int])
     # minima and counts are combined before they are shuffled, so a key that many texts share is no task's alone
     shared = entries.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("digests")).filter("digests > 1")
     met = with_found(entries, materialize(shared, "near-shared"), ["key"], "digests")
-    maybe = met.filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
-    candidates = connected_components(materialize(maybe, "near-candidates"))
+    candidates = connected_components(materialize(_hooked(met.filter("a IS NOT NULL").select("digest", "a")), "near-candidates"))
 
     # each candidate's text comes from its first row
     firsts = distinct.select(F.col("first.n").alias("first_n"), "digest").join(candidates, F.col("digest") == candidates.node).select("first_n", "label")
