@@ -1,6 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles, for the pipeline.
 
-MinHash bands find candidates, whose groups are then compared exactly: every
+SimHash fingerprints within a few bits of each other (deletion variants, as in
+``simhash``) and MinHash bands, for the similar texts whose fingerprints lie
+farther apart, find candidates. Their groups are then compared exactly: every
 text is sent to its group once, and large groups are cut into chunks that meet
 pairwise, so no task holds a whole one.
 """
@@ -17,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import materialize, shuffle_partitions, utf8, with_found
 from .components import connected_components
-from .simhash import _roots
+from .simhash import _roots, fingerprint_links, print_of
 
 #: Bands of so many minima. Two sets of Jaccard 0.8 share none of the bands
 #: with probability (1 - 0.8**6)**42 = 3e-6.
@@ -57,8 +59,8 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(doc_id, row, digest, keys, n)``, a written table: texts of equal shingle sets have
-    equal digests, ``row`` has all columns of ``docs`` and ``n`` tells rows apart."""
+    """``(doc_id, row, digest, print, keys, n)``, a written table: texts of equal shingle sets have
+    equal digests, ``print`` is their SimHash, ``row`` has all columns of ``docs`` and ``n`` tells rows apart."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))
 
@@ -69,14 +71,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 texts = pc.fill_null(part.column(1).field(text_col).cast(pa.string()), "").cast(pa.binary())
                 sets = [shingle_set(body, words) for body in texts.to_pylist()]
                 digests = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
+                prints = np.array([print_of(s) for s in sets], np.uint64).view(np.int64)
                 keys = np.concatenate([_band_keys(s) for s in sets])
                 offsets = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(digests), pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                    names=["doc_id", "row", "digest", "keys"],
+                    [part.column(0), part.column(1), pa.array(digests), pa.array(prints), pa.ListArray.from_arrays(offsets, pa.array(keys))],
+                    names=["doc_id", "row", "digest", "print", "keys"],
                 )
 
-    schema = StructType([*rows.schema.fields, StructField("digest", LongType()), StructField("keys", ArrayType(LongType()))])
+    schema = StructType([*rows.schema.fields, StructField("digest", LongType()), StructField("print", LongType()), StructField("keys", ArrayType(LongType()))])
     return materialize(rows.mapInArrow(run, schema).withColumn("n", F.monotonically_increasing_id()), "near-sets")
 
 
@@ -142,15 +145,26 @@ def _hooked(met: DataFrame) -> DataFrame:
     return links.filter("a <> b").distinct()
 
 
-def _grouped(sets: DataFrame, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
+def _by_print(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all of ``distinct(digest, print)`` whose fingerprints differ in at most ``max_bits`` bits."""
+    prints = materialize(distinct.groupBy("print").agg(F.min("digest").alias("head"), F.count("*").alias("digests")), "near-prints")
+    near = materialize(fingerprint_links(prints.select(F.col("print").alias("fp")), max_bits), "near-print-links")
+    headed = lambda c: prints.select(F.col("print").alias(c), F.col("head").alias(f"head_{c}"))
+    apart = near.join(headed("a"), "a").join(headed("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    equal = with_found(distinct.select("digest", "print"), prints, ["print"], "digests").select(F.col("head").alias("a"), F.col("digest").alias("b"))
+    return apart.union(equal.filter("a <> b"))
+
+
+def _grouped(sets: DataFrame, text_col: str, words: int, share: tuple[int, int], max_bits: int) -> DataFrame:
     """``(digest, component_id, keeper)``: a group's smallest id, and the row number of one row that has it."""
-    distinct = sets.groupBy("digest").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first"))
+    distinct = sets.groupBy("digest").agg(F.first("print").alias("print"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first"))
     distinct = materialize(distinct, "near-distinct")
     entries = distinct.select("digest", F.posexplode("keys").alias("band", "key")).select("digest", F.xxhash64("band", "key").alias("key"))
     # minima and counts are combined before they are shuffled, so a key that many texts share is no task's alone
     shared = entries.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("digests")).filter("digests > 1")
     met = with_found(entries, materialize(shared, "near-shared"), ["key"], "digests")
-    candidates = connected_components(materialize(_hooked(met.filter("a IS NOT NULL").select("digest", "a")), "near-candidates"))
+    linked = _hooked(met.filter("a IS NOT NULL").select("digest", "a")).union(_by_print(distinct.select("digest", "print"), max_bits))
+    candidates = connected_components(materialize(linked, "near-candidates"))
 
     # each candidate's text comes from its first row
     firsts = distinct.select(F.col("first.n").alias("first_n"), "digest").join(candidates, F.col("digest") == candidates.node).select("first_n", "label")
@@ -174,27 +188,28 @@ def _grouped(sets: DataFrame, text_col: str, words: int, share: tuple[int, int])
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), max_bits: int = 4
 ) -> DataFrame:
     """Per document ``doc_id`` and ``component_id``, the smallest id reachable.
 
     Documents link when the sets of their ``words``-word shingles have a
     Jaccard similarity of at least ``share[0] / share[1]``; a text of fewer
-    words is one shingle. Every link is verified on whole texts; that a link is
-    missed, see BANDS, is as unlikely as stated there. Defined results: texts
+    words is one shingle. Every link is verified on whole texts. None is missed
+    whose fingerprints differ in at most ``max_bits`` bits; that any other is,
+    see BANDS, is as unlikely as stated there. Defined results: texts
     without words (null too) are equal; repeated rows are returned each; null
     ids are never a component's smallest unless it has no other; an empty
     table gives an empty result; other columns are ignored.
     """
     sets = _sets(docs, id_col, text_col, words)
-    per_set = materialize(_grouped(sets, text_col, words, share), "near-components")
+    per_set = materialize(_grouped(sets, text_col, words, share, max_bits), "near-components")
     counts = sets.groupBy("digest").agg(F.count("*").alias("rows"))
     found = materialize(per_set.join(counts, "digest"), "near-found")
     return with_found(sets.select("doc_id", "digest"), found, ["digest"], "rows").select("doc_id", "component_id")
 
 
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), max_bits: int = 4
 ) -> DataFrame:
     """One row of ``docs`` for each group of ``near_groups``, columns unchanged.
 
@@ -202,5 +217,5 @@ def drop_near_copies(
     any one stays.
     """
     sets = _sets(docs, id_col, text_col, words)
-    keepers = _grouped(sets, text_col, words, share).select("keeper").distinct()
+    keepers = _grouped(sets, text_col, words, share, max_bits).select("keeper").distinct()
     return sets.join(keepers, sets.n == keepers.keeper, "left_semi").select("row.*")

@@ -35,7 +35,11 @@ def _fingerprint(body: bytes, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: n - words + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+    return print_of(np.array([digest(joined[i:j], 42) for i, j in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of hashes: bits set in over half of them; zero of none."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
