@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.functions import fuzzy, ngrams, text
-from tidemark.operators import features, serve
+from tidemark.operators import cells, features, serve
 from tidemark.plans import landed
 from tidemark.sources import connectors
 
@@ -93,3 +93,17 @@ def test_a_trigger_takes_many_batches(spark, tmp_path):
     asked.stop()
     found = spark.read.parquet(f"{home}/rows").select("of", "batch", F.get_json_object("value", "$.source_id").alias("u")).collect()
     assert len(triggers) == 2 and sorted((r["u"], r["batch"], r["of"]) for r in found) == sorted((f"u{i}", i // 70, i // 630) for i in range(900))
+
+
+def test_pairs_by_place_are_dealt_by_their_number(spark, monkeypatch):
+    points = spark.range(400).select("id", (F.col("id") % 4 / 1000).cast("double").alias("lat"), F.when(F.col("id") % 9 > 0, 10.0).alias("lon")).coalesce(1)
+    centres = spark.range(60).select(F.col("id").alias("centre"), F.lit(0.0).alias("centre_lat"), F.lit(10.0).alias("centre_lon"), (F.col("id") % 3 / 9).cast("double").alias("radius_km"))
+    key = lambda found: sorted((r["id"], r["centre"]) for r in found.select("id", "centre").collect())
+    wanted = [(i, c) for i in range(400) if i % 9 for c in range(60) if i % 4 * 0.1112 <= c % 3 / 9]
+    whole = cells.within_radius(points, centres)
+    monkeypatch.setattr(cells, "PAIRS", 500)
+    cut = cells.within_radius(points, centres)
+    assert key(whole) == key(cut) == wanted
+    assert whole.rdd.getNumPartitions() == 8 and cut.rdd.getNumPartitions() >= 40
+    assert cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(wanted) / 8
+    assert key(cells.within_radius(points.limit(0), centres)) == []
