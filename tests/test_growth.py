@@ -107,3 +107,12 @@ def test_pairs_by_place_are_dealt_by_their_number(spark, monkeypatch):
     assert whole.rdd.getNumPartitions() == 8 and cut.rdd.getNumPartitions() >= 40
     assert cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(wanted) / 8
     assert key(cells.within_radius(points.limit(0), centres)) == []
+
+
+def test_buckets_are_hashed_once_in_a_worker(monkeypatch):
+    hashed, real = [], ngrams.bucket_of
+    monkeypatch.setattr(ngrams, "bucket_of", lambda g: hashed.append(g) or real(g))
+    first, again = ngrams._vectors(["hashed once only"]), ngrams._vectors(["hashed once only"])
+    assert len(hashed) == len(set(hashed)) and all((a == b).all() for a, b in zip(first[0], again[0]))
+    monkeypatch.setattr(ngrams, "KNOWN", 0)
+    assert all((a == b).all() for a, b in zip(first[0], ngrams._vectors(["hashed once only"])[0]))
