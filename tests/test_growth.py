@@ -72,6 +72,14 @@ def test_versions_hold_all_recent_clusters(spark):
     assert {r["n"] for r in landed.index_versions(t).collect()} == {6000}
 
 
+def test_versions_without_entries_have_a_time(spark):
+    """No cluster is recent where a larger table's first events, which found them all, are older."""
+    clusters = spark.range(60).select(F.concat(F.lit("c"), "id").alias("cluster_id"), F.lit("t").alias("title"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("last_seen_at"))
+    t = SimpleNamespace(spark=spark, clusters=clusters, as_of=F.lit("2024-01-04 00:30:00").cast("timestamp_ntz"))
+    wanted = [(0, 0, 0), (200, 0, 0), (300, 0, 0), (301, 301, 0), (500, 301, 0), (700, 700, 0)]
+    assert sorted((r["asked"], r["made"], r["n"]) for r in landed.index_versions(t).collect()) == wanted
+
+
 def test_token_sets_of_all_items_meet_their_texts(spark, sf_dir):
     found = plans.QUERIES["STR-25"](spark, sf_dir)
     assert found.filter("id % 3 = 0 AND score = 100").count() > 0 and found.select("mixed").distinct().count() > 5

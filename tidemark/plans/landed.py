@@ -262,8 +262,9 @@ def index_versions(t):
     store = versions.IndexVersions(t.spark, landing.folder(t.spark, "index"))
     start, out = datetime(2024, 1, 4), None
     for asked in (0, 200, 300, 301, 500, 700):
-        index = store.current(start + timedelta(seconds=asked), lambda: similarity.recent(t.clusters, t.as_of))
-        row = index.agg(F.lit(asked).alias("asked"), (F.max("index_version") - int(start.timestamp())).alias("made"), F.count("*").alias("n"))
+        made = store.refreshed(start + timedelta(seconds=asked), lambda: similarity.recent(t.clusters, t.as_of))
+        # of the version, not of its rows, which it may have none of
+        row = store.read(made).agg(F.lit(asked).alias("asked"), F.lit(int((made - start).total_seconds())).alias("made"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out.select(F.col("asked").cast("int").alias("asked"), F.col("made").cast("int").alias("made"), "n")
 

@@ -32,11 +32,15 @@ class IndexVersions:
         made = self.newest()
         return made is None or now - made > self.refresh
 
-    def current(self, now: datetime, build: Callable[[], DataFrame]) -> DataFrame:
-        """The newest version, made by ``build`` first if that is stale."""
+    def refreshed(self, now: datetime, build: Callable[[], DataFrame]) -> datetime:
+        """When the version to use now was made; it is made by ``build`` first if the newest is stale. A version may have no rows."""
         if self.stale(now):
             build().write.mode("overwrite").parquet(self._path(now))
-        return self.read(self.newest())
+        return self.newest()
+
+    def current(self, now: datetime, build: Callable[[], DataFrame]) -> DataFrame:
+        """The newest version, made by ``build`` first if that is stale."""
+        return self.read(self.refreshed(now, build))
 
     def read(self, made: datetime) -> DataFrame:
         return self.spark.read.parquet(self._path(made)).withColumn("index_version", F.lit(int(made.timestamp())))
