@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.functions import fuzzy, ngrams, text
 from tidemark.operators import cells, features, serve
-from tidemark.plans import landed
+from tidemark.plans import domain, landed
 from tidemark.sources import connectors
 
 
@@ -65,6 +65,16 @@ def test_references_without_an_end_are_text():
     assert fuzzy.html_text(page, " ") == "a&amp b © &ampc &notit; &&< A B &#66 c&"
 
 
+def test_blank_paragraphs_and_spaces_of_unicode_are_kept(spark):
+    bodies = ["", "  \n", "\u00a0a b\u3000", "\x0ba\x85", " \t<p></p> & b\r\n", None]
+    items = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    found = {r["id"]: (r["text"], r["title"]) for r in domain.mastodon_records(SimpleNamespace(items=items)).collect()}
+    wanted = [" #tag", " #tag", "\u00a0a b\u3000 #tag", "\x0ba\x85 #tag", "<p></p> & b #tag", None]
+    assert [found[k] for k in range(len(bodies))] == [(w, w) for w in wanted]
+    page = "<p> </p><b>a</b> <script>x</script><p><i></i>c</p>"
+    assert fuzzy.html_text(page, " ") == "a c" and fuzzy.html_text(page, " ", blanks=True) == " a  c" and fuzzy.html_text(page) == "a c"
+
+
 def test_versions_hold_all_recent_clusters(spark):
     """More clusters than an index for matching may have."""
     clusters = spark.range(6000).select(F.concat(F.lit("c"), "id").alias("cluster_id"), F.lit("t").alias("title"), F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz").alias("last_seen_at"))
