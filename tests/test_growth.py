@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.functions import fuzzy, ngrams, text
+from tidemark.functions import fuzzy, geo, ngrams, text
 from tidemark.operators import cells, features, serve
 from tidemark.plans import domain, landed
 from tidemark.sources import connectors
@@ -127,6 +127,44 @@ def test_pairs_by_place_are_dealt_by_their_number(spark, monkeypatch):
     assert key(cells.within_radius(points.limit(0), centres)) == []
 
 
+def test_crowded_cells_do_not_repeat_their_larger_side(spark, monkeypatch):
+    """20 points and 2,000 circles of one cell, 80 tasks' worth of pairs: each circle once, not once for each slice of the points."""
+    points = spark.range(20).select("id", (F.col("id") / 1000).cast("double").alias("lat"), F.lit(11.0).alias("lon"))
+    centres = spark.range(2000).select(F.col("id").alias("centre"), F.lit(0.5).alias("centre_lat"), (11 + F.col("id") / 10_000).alias("centre_lon"), F.lit(57.0).alias("radius_km"))
+    key = lambda found: sorted((r["id"], r["centre"]) for r in found.select("id", "centre").collect())
+    wanted = key(cells.within_radius(points, centres))
+    monkeypatch.setattr(cells, "PAIRS", 500)
+    dealt, real = [], cells._dealt
+    monkeypatch.setattr(cells, "_dealt", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    assert key(cells.within_radius(points, centres)) == wanted and 0 < len(wanted) < 40_000
+    placed, spread = (side.count() for side in dealt[0])
+    assert placed == 20 * 80 and spread <= 2 * 2000 and dealt[0][1].rdd.getNumPartitions() >= 80
+
+
+def test_centres_of_one_circle_are_measured_once(spark, monkeypatch):
+    rows = [(k if k % 5 else None, "a" if k % 2 else None, 0.0, 10.0 + k % 2, 50.0) for k in range(300)] + [(7, "a", 0.0, 11.0, 50.0)] * 3
+    centres = spark.createDataFrame(rows, "centre long, tag string, centre_lat double, centre_lon double, radius_km double")
+    points = spark.createDataFrame([(1, 0.1, 10.0), (2, 0.1, 11.0), (3, 5.0, 10.0)], "id long, lat double, lon double")
+    circle, others = ["centre_lat", "centre_lon", "radius_km"], ["centre", "tag"]
+    wanted = sorted((str(r[:2]), 1 + r[3] - 10.0) for r in rows)
+    for most, least_rows in ((1024, 2), (20, 12)):
+        monkeypatch.setattr(cells, "MEMBERS", most)
+        held = [len(r["_members"]) for r in cells._circles(centres, circle, others).collect()]
+        assert sum(held) == 303 and least_rows <= len(held) <= 16 and (most > 303 or max(held) < 100)
+        found = cells.within_radius(points, centres, digits=3)
+        assert found.columns == ["id", "lat", "lon", *centres.columns, "distance_km"] and {r["distance_km"] for r in found.collect()} == {11.119}
+        assert sorted((str((r["centre"], r["tag"])), float(r["id"])) for r in found.collect()) == wanted
+    assert cells.within_radius(points, centres.select(circle)).count() == 303
+
+
+def test_distances_are_rounded_as_sql_rounds_doubles(spark):
+    import duckdb
+
+    values = [0.0, 0.0004999, 0.0005, 1.0005, 1.0015, 2.6745, 749.9995, 749.99949999, 20015.0865, 0.1 + 0.2, 1 / 3]
+    found = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", geo.rounded(F.col("v"), 3).alias("r")).collect()
+    assert [r["r"] for r in sorted(found)] == [duckdb.execute("SELECT round(?::DOUBLE, 3)", [v]).fetchone()[0] for v in values]
+
+
 def test_buckets_are_hashed_once_in_a_worker(monkeypatch):
     hashed, real = [], ngrams.bucket_of
     monkeypatch.setattr(ngrams, "bucket_of", lambda g: hashed.append(g) or real(g))
